@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import language_id, licenses, line_quality, mixing, secrets, token_counts, token_files
+from dialoom.llm import language_id, licenses, line_quality, mixing, secrets, substring_dedup, token_counts, token_files
 from dialoom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(documents(spark, sf_dir))
 
@@ -49,7 +53,8 @@ QUERIES: dict[str, Query] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_license_scan": op7_license_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_quality": line_quality.ORACLE, "op6_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_line_quality": line_quality.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
