@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import language_id, licenses, line_quality, mixing, secrets, substring_dedup, token_counts, token_files
+from dialoom.llm import language_id, licenses, line_quality, mixing, near_dedup, secrets, substring_dedup, token_counts, token_files
 from dialoom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), k=4).drop("__row")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_token_output": op10_token_output,
 }
 
