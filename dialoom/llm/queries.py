@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import language_id, licenses, line_quality, mixing, near_dedup, secrets, substring_dedup, token_counts, token_files
+from dialoom.llm import decontamination, language_id, licenses, line_quality, mixing, near_dedup, secrets, substring_dedup, token_counts, token_files
 from dialoom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.prefix_token_counts(documents(spark, sf_dir), limit=512)
 
@@ -51,6 +55,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_line_quality": op3_line_quality,
     "op4_language_id": op4_language_id,
