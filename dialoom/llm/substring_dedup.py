@@ -57,6 +57,14 @@ def _unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, memor
     return tag, ids, np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n), memoryview(data)[at + 8 * n :]
 
 
+def _sections(data: bytes) -> Iterator[tuple]:
+    at = 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        yield _unpack(data[at + 8 : at + 8 + n])
+        at += 8 + n
+
+
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """doc_id, null as the largest, and the 32-bit fingerprint of the row."""
     ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -97,7 +105,8 @@ def _send(k: int, parts: int):
                 for q, own in _groups(*(lambda t: (np.argsort(t, kind="stable"), t))(prints[some] % np.uint32(parts))):
                     docs = some[own]
                     bits = b"".join([np.packbits(settled[begin[d] : begin[d + 1]]).tobytes() for d in docs])
-                    rows.append((q, 1, _pack(tag, ids[docs], prints[docs], n_windows[docs], bits)))
+                    mask = _pack(tag, ids[docs], prints[docs], n_windows[docs], bits)
+                    rows.append((q, 1, len(mask).to_bytes(8, "little") + mask))
             left = np.flatnonzero(~settled)
             part = (h[left] % np.uint64(parts)).astype(np.int64)
             for p, own in _groups(np.argsort(part, kind="stable"), part):  # stable: by document, then position
@@ -132,11 +141,14 @@ def _look_up(parts: int):
         some = np.flatnonzero(np.add.reduceat(late, begin[:-1], dtype=np.int64))
         if not len(some):
             return
-        key = tags[some] * parts + (prints[some] % np.uint32(parts)).astype(np.int64)
-        for tq, at in _groups(np.argsort(key, kind="stable"), key):
-            docs = some[at]
-            bits = b"".join([np.packbits(late[begin[d] : begin[d + 1]]).tobytes() for d in docs])
-            yield tq % parts, 2 + p, _pack(tq // parts, ids[docs], prints[docs], counts[docs], bits)
+        q = (prints[some] % np.uint32(parts)).astype(np.int64)
+        for to, own in _groups(np.lexsort((tags[some], q)), q):  # one row for each partition to answer, its tags one after another
+            packed = []
+            for tag, at in _groups(np.arange(len(own)), tags[some][own]):
+                docs = some[own[at]]
+                bits = b"".join([np.packbits(late[begin[d] : begin[d + 1]]).tobytes() for d in docs])
+                packed.append(_pack(tag, ids[docs], prints[docs], counts[docs], bits))
+            yield to, 2 + p, b"".join([len(x).to_bytes(8, "little") + x for x in packed])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -224,13 +236,13 @@ def _finish(k: int, parts: int, keep_text: bool):
                 if p != now:
                     found, now = {}, p
                 if kind < 1 << 30:
-                    tag, ids, prints, counts, rest = _unpack(data)
-                    at = 0
-                    for i, f, n in zip(ids.tolist(), prints.tolist(), counts.tolist(), strict=True):
-                        size = (n + 7) // 8
-                        bits = np.unpackbits(np.frombuffer(rest[at : at + size], np.uint8), count=n).astype(bool)
-                        found.setdefault((i, f), {}).setdefault(tag, {})[kind] = bits
-                        at += size
+                    for tag, ids, prints, counts, rest in _sections(data):
+                        at = 0
+                        for i, f, n in zip(ids.tolist(), prints.tolist(), counts.tolist(), strict=True):
+                            size = (n + 7) // 8
+                            bits = np.unpackbits(np.frombuffer(rest[at : at + size], np.uint8), count=n).astype(bool)
+                            found.setdefault((i, f), {}).setdefault(tag, {})[kind] = bits
+                            at += size
                     continue
                 raw = b"" if data is None else z.decompress(data)
                 words = raw.split()  # at space and tab..carriage return, as bytes
