@@ -7,10 +7,12 @@ coordinate fills, and two sketches agree in each coordinate with probability equ
 independent draws. With 40 bands of 5 rows, documents as similar as 0.8 share a bucket with probability 1 - 1.3e-7.
 
 Pairs: documents with the same shingle set are one class (64-bit set hash), so copies are never compared. In each bucket, classes of
-other components are compared with one member of the bucket's largest component (`star_rounds` times, with another member each
-time); labels join those found linked. What is left in a bucket after that, classes outside its largest component, is compared
-with all members of other components. So a group of thousands of near copies costs a few comparisons for each member, and still
-every pair that shares a bucket is either compared in full or known to be in one component.
+other components are compared with one member of the bucket's largest component (`star_rounds` times: first with the member whose
+buckets are fullest, which of an original and its edited copies is the original, then with another each time); labels join those
+found linked. What is left in a bucket after that, classes outside its largest component, is paired with all members of other
+components, once for each pair (in the first band that they share) and only if the sketches say that it may be a link: `CHECKS`
+more coordinates serve this, 4 bits of each, and a pair is passed over if its agreement is `SIGMAS` standard deviations under that
+of the least link (a chance of 3e-7 for one exactly at the threshold). Whatever is not passed over is compared in full.
 
 Scale: sketches, buckets and candidate texts are tables in the shared folder; hot buckets and hot classes are reduced by partial
 aggregation and joined with skew handling or broadcast after a count; components are found by alternating large-star and small-star steps on tables. Nothing
@@ -33,6 +35,8 @@ from dialoom.llm.common import checkpointed, gathered, scratch, sized_join, smal
 from dialoom.llm.kernel import Words, mix
 
 ROUNDS = 120
+#: Coordinates beside those of the bands, and deviations allowed, in the estimate that a pair must pass.
+CHECKS, SIGMAS = 400, 5.0
 #: Rows of (class, label) that are broadcast after a count.
 MAX_LABELS = 500_000
 _U = np.uint64
@@ -77,20 +81,42 @@ def band_hashes(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def nibbles(coordinates: np.ndarray) -> np.ndarray:
+    """4 bits of each coordinate, 16 coordinates in a number; the last is filled up with zeros."""
+    x = np.zeros(-(-len(coordinates) // 16) * 16, _U)
+    x[: len(coordinates)] = mix(coordinates) & _U(15)
+    return np.bitwise_or.reduce(x.reshape(-1, 16) << (_U(4) * np.arange(16, dtype=_U)), axis=1).view(np.int64)
+
+
+def may_link(a: str, b: str, percent: int, coordinates: int):
+    """Whether the 4-bit sketches in columns a and b differ in no more coordinates than those of a link can."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    most = int(coordinates * (1 - p + SIGMAS * (p * (1 - p) / coordinates) ** 0.5)) + 1
+    ones = F.lit(0x1111111111111111)
+
+    def differ(x):
+        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(ones))
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda s, x: s + differ(x)) <= most
+
+
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, __row (a hash of the row), __n (set size), __class (a hash of the set, null for the empty one), __bands."""
+    """doc_id, __row (a hash of the row), __n (set size), __class (a hash of the set, null for the empty one), __bands, __bits."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("__row", pa.int64()), ("__n", pa.int64()), ("__class", pa.int64()), ("__bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("__row", pa.int64()), ("__n", pa.int64()), ("__class", pa.int64()), ("__bands", pa.list_(pa.int64())), ("__bits", pa.list_(pa.int64()))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 4 << 20):
             sets = shingle_sets(texts(batch), k)
             classes = [int(mix(s ^ _U(0xA0761D6478BD642F)).sum().view(np.int64)) if len(s) else None for s in sets]
-            found = [band_hashes(sketch(s, bands * rows), bands, rows) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+            drawn = [sketch(s, bands * rows + CHECKS) if len(s) else None for s in sets]
+            found = [[] if x is None else band_hashes(x[: bands * rows], bands, rows) for x in drawn]
+            bits = [[] if x is None else nibbles(x) for x in drawn]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__row"))
-    return own.mapInArrow(make, "doc_id long, __row long, __n long, __class long, __bands array<long>")
+    return own.mapInArrow(make, "doc_id long, __row long, __n long, __class long, __bands array<long>, __bits array<long>")
 
 
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -164,8 +190,9 @@ def _ratio(percent: int):
     return 100 * F.least("__n", "__m") >= percent * F.greatest("__n", "__m")
 
 
-def links(buckets: DataFrame, data: DataFrame, folder: str, k: int, percent: int, star_rounds: int) -> DataFrame:
-    """Confirmed edges(a, b) that connect every component, for buckets(__bucket, __class, __n)."""
+def links(buckets: DataFrame, drawn: DataFrame, data: DataFrame, folder: str, k: int, percent: int, star_rounds: int, coordinates: int) -> DataFrame:
+    """Confirmed edges(a, b) that connect every component, for buckets(__bucket, __band, __class, __n, __full) and the sketches
+    drawn(__class, __bands, __bits)."""
     label = None
     edges = None
     tested = None
@@ -173,18 +200,23 @@ def links(buckets: DataFrame, data: DataFrame, folder: str, k: int, percent: int
         now = buckets if label is None else sized_join(buckets, label, ["__class"], "left", MAX_LABELS, salts=8)
         now = now.withColumn("__c", F.coalesce("__c", "__class") if label is not None else F.col("__class"))
         # the member of each component that serves as its centre in this round
-        centre = F.min(F.struct(F.xxhash64("__class", F.lit(r)).alias("h"), F.col("__class").alias("i"), F.col("__n").alias("n")))
+        order = F.col("__full") if r == 0 else F.xxhash64("__class", F.lit(r))
+        centre = F.max(F.struct(order.alias("h"), F.col("__class").alias("i"), F.col("__n").alias("n")))
         by = now.groupBy("__bucket", "__c").agg(F.count("*").alias("__k"), centre.alias("__at"))
-        main = by.groupBy("__bucket").agg(F.max(F.struct("__k", F.col("__c").alias("c"), "__at")).alias("__top"), F.count("*").alias("__cs")).where("__cs > 1")
+        main = by.groupBy("__bucket").agg(F.max(F.struct("__k", F.col("__at.h").alias("h"), F.col("__c").alias("c"), "__at")).alias("__top"), F.count("*").alias("__cs")).where("__cs > 1")
         main = main.select("__bucket", F.col("__top.c").alias("__main"), F.col("__top.__at.i").alias("__i"), F.col("__top.__at.n").alias("__m"))
         rest = now.join(main, "__bucket").where("__c <> __main")
         if r < star_rounds:
             pairs = rest.where(_ratio(percent)).select(F.col("__class").alias("a"), F.col("__i").alias("b")).distinct()
         else:  # what the stars have left
-            other = now.select("__bucket", F.col("__class").alias("__j"), F.col("__c").alias("__d"), F.col("__n").alias("__s"))
-            left = rest.select("__bucket", "__class", "__c", "__main", "__n").join(other, "__bucket").where("__c <> __d and (__d = __main or __class < __j)")
-            left = left.withColumn("__m", F.col("__s")).where(_ratio(percent))
-            pairs = left.select(F.col("__class").alias("a"), F.col("__j").alias("b")).distinct()
+            rest = _stored(rest.select("__bucket", "__band", "__class", "__c", "__main", "__n"), folder, "rest")
+            other = now.select("__bucket", F.col("__class").alias("__j"), F.col("__c").alias("__d"), F.col("__n").alias("__m"))
+            other = other.join(rest.select("__bucket").distinct(), "__bucket", "left_semi")
+            other = other.join(drawn.select(F.col("__class").alias("__j"), F.col("__bands").alias("__bands2"), F.col("__bits").alias("__bits2")), "__j")
+            first = ~F.arrays_overlap(F.slice("__bands", F.lit(1), F.col("__band")), F.slice("__bands2", F.lit(1), F.col("__band")))
+            wanted = (F.col("__c") != F.col("__d")) & ((F.col("__d") == F.col("__main")) | (F.col("__class") < F.col("__j"))) & _ratio(percent)
+            left = rest.join(drawn, "__class").alias("x").join(other.alias("y"), (F.col("x.__bucket") == F.col("y.__bucket")) & wanted & may_link("__bits", "__bits2", percent, coordinates) & first)
+            pairs = left.select(F.col("__class").alias("a"), F.col("__j").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -203,14 +235,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     text) for each row of docs(doc_id, text)."""
     folder = scratch(docs.sparkSession, "near")
     base = _stored(sketches(docs, k, bands, rows), folder, "sketches")
-    classes = base.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("__min"), F.min("__row").alias("__row"), F.max("__n").alias("__n"), F.count("*").alias("__docs"), F.first("__bands").alias("__bands"))
+    classes = base.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("__min"), F.min("__row").alias("__row"), F.max("__n").alias("__n"), F.count("*").alias("__docs"), F.first("__bands").alias("__bands"), F.first("__bits").alias("__bits"))
     classes = _stored(classes, folder, "classes")
-    spread = classes.select("__class", "__n", F.explode("__bands").alias("__bucket"))
-    shared = spread.groupBy("__bucket").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi")).where("__lo < __hi").select("__bucket")
-    buckets = _stored(spread.join(shared, "__bucket").select("__bucket", "__class", "__n"), folder, "buckets")
+    spread = classes.select("__class", "__n", F.posexplode("__bands").alias("__band", "__bucket"))
+    shared = spread.groupBy("__bucket").agg(F.count("*").alias("__size")).where("__size > 1")
+    buckets = _stored(spread.join(shared, "__bucket").select("__bucket", "__band", "__class", "__n", "__size"), folder, "crowded")
+    full = buckets.groupBy("__class").agg(F.sum("__size").alias("__full"))
+    buckets = _stored(buckets.drop("__size").join(full, "__class"), folder, "buckets")
+    drawn = classes.select("__class", "__bands", "__bits")
     wanted = classes.join(buckets.select("__class").distinct(), "__class", "left_semi").select("__row", "__class")
     data = _stored(_candidate_texts(docs, wanted).dropDuplicates(["__class"]), folder, "texts")
-    found = components(links(buckets, data, folder, k, percent, star_rounds))
+    found = components(links(buckets, drawn, data, folder, k, percent, star_rounds, bands * rows + CHECKS))
     # Only classes with copies or links differ from their document itself.
     own = classes.select("__class", "__min", "__docs").join(found.withColumnRenamed("node", "__class"), "__class", "left").where("root is not null or __docs > 1")
     own = own.withColumn("root", F.coalesce("root", "__class"))
