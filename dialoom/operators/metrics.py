@@ -38,7 +38,6 @@ def baseline(utterances: DataFrame, kind: str, stride: int = 0, seeds: int = 20)
     k = F.least(F.col("n_seg") - 1, F.col("n_utt") - 1)
     if kind == "random":
         many = utterances.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-        order = W.partitionBy("dialogue_id", "seed").orderBy(rank_key("baseline", "seed", "dialogue_id", "utt_idx"))
         rows = many.withColumn("gap", F.col("utt_idx") < F.col("n_utt") - 1)
         rows = rows.withColumn("place", F.row_number().over(W.partitionBy("dialogue_id", "seed", "gap").orderBy(rank_key("baseline", "seed", "dialogue_id", "utt_idx"))))
         before = W.partitionBy("dialogue_id", "seed").orderBy("utt_idx").rowsBetween(W.unboundedPreceding, -1)

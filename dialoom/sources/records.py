@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TURNS = "array<struct<speaker: string, text: string>>"
 DIALOGUE = f"dialogue_id string, domain string, source_doc_id string, split string, target_turns int, persona string, opener string, utterances {TURNS}"
@@ -78,7 +77,3 @@ def report(stats: DataFrame, checks: DataFrame) -> DataFrame:
     a = stats.agg(F.collect_list(F.struct(*keep)).alias("stats"))
     b = checks.agg(F.collect_list(F.struct(*checks.columns)).alias("checks"))
     return a.crossJoin(F.broadcast(b)).select(F.to_json(F.struct("stats", "checks")).alias("report"))
-
-
-def struct_of(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema)
