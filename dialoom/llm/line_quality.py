@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WORD, WS, sized_join
+from dialoom.llm.common import WORD, WS, scratch, sized_join
 
 #: Documents to change that are broadcast; each row holds the hashes of its removed lines.
 MAX_CHANGED = 400_000
@@ -96,19 +96,21 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50,
 
 
 def clean(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
-    """The kept rows with the columns of docs; text without the removed lines, and n_chars, where there is one, to match."""
+    """The kept rows with the columns of docs; text without the removed lines, and n_chars, where there is one, to match. Rows and
+    verdicts are written to the shared folder first: a filter over the measures would be planned with copies of all of them."""
     names = docs.columns
-    keyed = docs.withColumn("__key", _row_key(docs))
+    folder = scratch(docs.sparkSession, "quality")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__doc"), docs["text"].alias("__text"), _row_key(docs).alias("__key"))
     own = sized_join(keyed, removed_lines(docs.select("doc_id", "text", "source"), min_docs, share), ["__key"], "left", MAX_CHANGED, salts=1)
-    out = measures(own, "text", min_words, max_repeat_percent)
+    out = measures(own, "__text", min_words, max_repeat_percent)
     kept = ~F.col("base_failed") & (F.coalesce("__lost", F.lit(0)) <= F.col("__n") * max_removed)
-    # rand() is below 2 always; it only keeps the optimizer from moving the filter, and with it copies of all measures, downwards
-    out = out.withColumn("__ok", F.when(F.rand(0) < 2.0, kept)).where("__ok")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("__removed", _line_hash(x)) & x.rlike(WORD))), "\n")
-    out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    out.select("__doc", "__removed", kept.alias("__ok")).write.parquet(folder)
+    out = docs.sparkSession.read.parquet(folder).where("__ok")
+    text = F.col("__doc")["text"]
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(F.array_contains("__removed", _line_hash(x)) & x.rlike(WORD))), "\n")
+    out = out.withColumn("__text", F.when(F.col("__removed").isNull(), text).otherwise(left))
+    n_chars = lambda: F.when(F.col("__removed").isNull(), F.col("__doc")["n_chars"]).otherwise(F.length("__text").cast("long"))
+    return out.select(*[(F.col("__text") if c == "text" else n_chars() if c == "n_chars" else F.col("__doc")[c]).alias(c) for c in names])
 
 
 ORACLE = r"""
