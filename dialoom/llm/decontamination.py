@@ -132,7 +132,7 @@ class Benchmark:
 
 def _values(words: list[str], at: np.ndarray) -> list[str]:
     """The value of each token: its words without marks, a run of names joined."""
-    ends = [*at[1:].tolist(), len(words)]
+    ends = [*at[1:].tolist(), len(words)] if len(at) else []
     return [" ".join(w.strip(_MARKS) for w in words[a:b]).lower() for a, b in zip(at.tolist(), ends, strict=True)]
 
 

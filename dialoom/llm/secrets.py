@@ -25,10 +25,10 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|private[_-]?key|credential|bearer|authorization|signature)s?\b", re.ASCII | re.IGNORECASE)
+_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|api[ _-]?key|private[ _-]?key|credential|bearer|authorization|signature)s?\b", re.ASCII | re.IGNORECASE)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 #: Only texts that match are looked at one by one.
-_ANY = r"(?i:passw|passphrase|secret|token|api[_-]?key|private[_-]?key|credential|bearer|authorization|signature)|AKIA[A-Z0-9]|[0-9a-f]{16}"
+_ANY = r"(?i:passw|passphrase|secret|token|api[ _-]?key|private[ _-]?key|credential|bearer|authorization|signature)|AKIA[A-Z0-9]|[0-9a-f]{16}"
 #: Common identifiers, the dictionary's fixed part.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey private_key access_key client_id client_secret credential authorization bearer signature "
