@@ -233,6 +233,11 @@ def links(buckets: DataFrame, drawn: DataFrame, data: DataFrame, folder: str, k:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id = component_id) and __row (xxhash64 of doc_id and
     text) for each row of docs(doc_id, text)."""
+    return _labelled(docs, k, percent, bands, rows, star_rounds).drop("__root")
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, bands: int = 40, rows: int = 5, star_rounds: int = 2) -> DataFrame:
+    """near_duplicates with __root, the component of the row's text (its least class; null where there are no shingles)."""
     folder = scratch(docs.sparkSession, "near")
     base = _stored(sketches(docs, k, bands, rows), folder, "sketches")
     classes = base.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("__min"), F.min("__row").alias("__row"), F.max("__n").alias("__n"), F.count("*").alias("__docs"), F.first("__bands").alias("__bands"), F.first("__bits").alias("__bits"))
@@ -250,15 +255,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = classes.select("__class", "__min", "__docs").join(found.withColumnRenamed("node", "__class"), "__class", "left").where("root is not null or __docs > 1")
     own = own.withColumn("root", F.coalesce("root", "__class"))
     least = own.groupBy("root").agg(F.min("__min").alias("__id"))
-    side = sized_join(own.select("__class", "root"), least, ["root"], "inner", MAX_LABELS, salts=8).select("__class", "__id")
+    side = sized_join(own.select("__class", "root"), least, ["root"], "inner", MAX_LABELS, salts=8).select("__class", "root", "__id")
     out = sized_join(base.select("doc_id", "__row", F.col("__n").alias("n_shingles"), "__class"), side, ["__class"], "left", MAX_LABELS, salts=8)
     component = F.coalesce("__id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "__row")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "__row", F.coalesce("root", "__class").alias("__root"))
 
 
 def kept_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with the columns of docs."""
-    keep = near_duplicates(docs, k, percent).where("kept").select("__row", F.coalesce(F.xxhash64("component_id"), F.col("__row")).alias("__comp"))
-    keep = keep.groupBy("__comp").agg(F.min("__row").alias("__row")).select("__row")  # rows that share a doc_id count once
+    """One row of each component of texts, the one with the least doc_id (null is largest), with the columns of docs; rows without
+    shingles are linked with nothing and all stay."""
+    found = _labelled(docs, k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    keep = found.where("__root is not null").groupBy("__root").agg(first.alias("__first")).select("__first.__row", F.lit(False).alias("__alone"))
+    keep = keep.union(found.where("__root is null").select("__row", F.lit(True)).distinct())
     keyed = docs.withColumn("__row", F.xxhash64(docs["doc_id"].cast("long"), docs["text"]))
-    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    # equal rows with shingles count once
+    own = keyed.join(keep, "__row").withColumn("__each", F.when(F.col("__alone"), F.monotonically_increasing_id()))
+    return own.dropDuplicates(["__row", "__each"]).select(*docs.columns)

@@ -94,6 +94,15 @@ def test_near_duplicates(spark):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in range(len(texts))}
 
 
+def test_kept_rows_by_text(spark):
+    a, b, c, d = (" ".join(words(40, f"kept {i}")) for i in range(4))
+    rows = [(None, a), (None, b), (5, c), (5, d), (5, d), (6, c + " more"), (None, None), (None, ""), (7, None), (7, None), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in near_dedup.kept_rows(docs).collect()]
+    want = [(None, a), (3, b), (5, c), (5, d), (None, None), (None, ""), (7, None), (7, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_substring_dedup(spark):
     shared = " ".join(words(20, 5))
     texts = [*EDGES, "a b " + shared + " c", shared + " d", "e " + shared, "e " + shared]
