@@ -2,8 +2,9 @@
 
 Novelty: a compressor primed with a dictionary of identifiers and the text around a candidate compresses the surroundings alone
 and with the candidate. The difference, in bits for each character, is small for words, paths and repeated strings, and close to
-the alphabet's entropy for random strings. Candidates stand after a sensitive word on the same line; those at or above
-`min_bits` are reported as kind `novel`. The patterns' spans always stay.
+the alphabet's entropy for random strings. Candidates begin near after a sensitive word, on its line or the following ones, or on
+the line right after a novel one (bodies of keys); the sensitive word may be the beginning or a part of an identifier. Those at or
+above `min_bits` are reported as kind `novel`. The patterns' spans always stay.
 
 A map over partitions: no shuffle, nothing gathered. Whole texts are searched. Defined cases: null text counts as empty and has
 no span; equal rows give equal results; offsets are code points, ends exclusive.
@@ -25,10 +26,12 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|api[ _-]?key|private[ _-]?key|credential|bearer|authorization|signature)s?\b", re.ASCII | re.IGNORECASE)
+_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|(?!(?-i:[a-z])))|secret|token|(?:api|private|access)[ _-]?key|credential|bearer|authorization|signature)", re.ASCII | re.IGNORECASE)
+#: The rest of an identifier and its assignment.
+_ASSIGNED = re.compile(r"""[A-Za-z0-9_.-]{0,64}["'\]]{0,2}\x20*(?::=|=>|[:=])""")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 #: Only texts that match are looked at one by one.
-_ANY = r"(?i:passw|passphrase|secret|token|api[ _-]?key|private[ _-]?key|credential|bearer|authorization|signature)|AKIA[A-Z0-9]|[0-9a-f]{16}"
+_ANY = r"(?i:pass|secret|token|(?:api|private|access)[ _-]?key|credential|bearer|authorization|signature)|AKIA[A-Z0-9]|[0-9a-f]{16}"
 #: Common identifiers, the dictionary's fixed part.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey private_key access_key client_id client_secret credential authorization bearer signature "
@@ -64,17 +67,27 @@ class Novelty:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, min_bits: float, reach: int) -> list[tuple[int, int, str]]:
-    """Incompressible strings that begin within `reach` characters after a sensitive word on its line and overlap no span yet."""
-    out: dict[tuple[int, int], None] = {}
+    """Incompressible strings that begin within `reach` characters after a sensitive word, or on the line right after one found, and
+    overlap no span yet."""
+    out: list[tuple[int, int]] = []
+    tested: set[tuple[int, int]] = set()
     for m in _SENSITIVE.finditer(text):
-        stop = text.find("\n", m.end())
-        stop = len(text) if stop < 0 else stop
-        for c in _CANDIDATE.finditer(text, m.end(), stop):
-            if c.start() > m.end() + reach:
-                break
-            span = c.span()
-            if span not in out and not any(s < span[1] and span[0] < e for s, e, _ in taken) and len(set(c[0])) >= 8 and novelty.bits(text, *span) >= min_bits:
-                out[span] = None
+        value = _ASSIGNED.match(text, m.end())
+        # the value without its identifier first, then all strings after the word
+        for begin in [value.end(), m.end()] if value else [m.end()]:
+            last = None
+            for c in _CANDIDATE.finditer(text, begin):
+                if c.start() > m.end() + reach and not (value and c.start() <= value.end() + reach) and (last is None or text[last : c.start()].strip("\r\n\t \\\"',+")):
+                    break
+                span = c.span()
+                if span in tested:
+                    if span in out:
+                        last = span[1]
+                    continue
+                tested.add(span)
+                if not any(s < span[1] and span[0] < e for s, e, *_ in (*taken, *out)) and len(set(c[0])) >= 8 and novelty.bits(text, *span) >= min_bits:
+                    out.append(span)
+                    last = span[1]
     return [(s, e, "novel") for s, e in out]
 
 
