@@ -1,12 +1,10 @@
-"""License scans (DataFrame functions only): MinHash bands over overlapping windows retrieve templates, exact containment decides.
+"""License scans (DataFrame functions only): templates that share a shingle with a text are retrieved, exact containment decides.
 
 Words are runs of letters and digits in lower case, shingles are `k` = 5 of them, each a 64-bit hash. Of a text, only shingles
 that occur in a template matter to any template's containment, so a broadcast join keeps those (templates are a fixed list, their
-shingles are counted, and the operator refuses more than `MAX_SHINGLES`). What is left of each window of 32 word positions, by
-steps of 16, is a set of at most 32 shingles; its MinHash values are looked up, band by band, among those of the templates'
-windows. With `bands` = 32 of one row, a window as similar as 0.2 to a template's window collides with probability 0.9992, at 0.5
-with 1 - 2e-10. Every template retrieved for a text is verified: the share of its shingles that the text holds must reach
-`containment`.
+shingles are counted, and the operator refuses more than `MAX_SHINGLES`). Every template that shares a shingle with a text is
+verified: the share of its shingles that the text holds must reach `containment`. MinHash bands over windows would retrieve fewer:
+in a window that also holds another licence, a notice of one shingle has a similarity of 1/28 or so, and some are lost.
 
 Before any shingle is made, texts without a template's marker words are set aside. Marker words of a template stand in more than
 1 - containment of its shingles, so a text that has none of them cannot reach the containment: nothing is lost.
@@ -60,21 +58,7 @@ def _shingles(text: Column, k: int) -> Column:
     return words, F.when(F.size("__w") > 0, F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("__w", i + 1, k), " "))))
 
 
-def _signed(windows: DataFrame, by: list[str], bands: int) -> DataFrame:
-    """by, __band, __value: the MinHash value of each band for the shingles of each window."""
-    sets = windows.groupBy(*by).agg(F.collect_set("__h").alias("__set"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform("__set", lambda h: F.xxhash64(h, b))))
-    return sets.select(*by, F.posexplode(value).alias("__band", "__value"))
-
-
-def _windowed(rows: DataFrame, window: int) -> DataFrame:
-    """Each shingle goes to the two windows that hold its position, of the first only one."""
-    half = window // 2
-    last = F.floor(F.col("__at") / half)
-    return rows.withColumn("__win", F.explode(F.sequence(F.greatest(last - 1, F.lit(0)), last)))
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, window: int = 32, bands: int = 32, containment: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, containment: float = 0.8) -> DataFrame:
     """doc_id, license, containment (share of the template's shingles), first_word and last_word (where its shingles begin first
     and last) for each row of docs(doc_id, text) and template that it holds."""
     spark = docs.sparkSession
@@ -94,11 +78,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     own = docs.select("doc_id", "text").where(has).withColumn("__key", F.xxhash64("doc_id", "text"))
     own = own.withColumn("__w", words).select("__key", "doc_id", F.posexplode(shingles).alias("__at", "__h"))
     hits = own.join(F.broadcast(vocabulary), "__h")
-    mine = _signed(_windowed(hits, window), ["__key", "__win"], bands)
-    theirs = _signed(_windowed(known, window), ["license", "__win"], bands).select("license", "__band", "__value").distinct()
-    found = mine.join(F.broadcast(theirs), ["__band", "__value"]).select("__key", "license").distinct()
     pairs = F.broadcast(known.select("license", "__h").distinct())
     held = hits.join(pairs, "__h").groupBy("__key", "license").agg(F.countDistinct("__h").alias("__n"), F.min("__at").alias("first_word"), F.max("__at").alias("last_word"))
-    good = held.join(found, ["__key", "license"], "left_semi").join(F.broadcast(total), "license").withColumn("containment", F.col("__n") / F.col("__size")).where(F.col("containment") >= containment)
+    good = held.join(F.broadcast(total), "license").withColumn("containment", F.col("__n") / F.col("__size")).where(F.col("containment") >= containment)
     ids = docs.select("doc_id", "text").where(has).select("doc_id", F.xxhash64("doc_id", "text").alias("__key"))
     return ids.join(good, "__key").select("doc_id", "license", "containment", "first_word", "last_word")

@@ -169,6 +169,26 @@ def test_licenses(spark):
     assert not [r for r in licenses.scan_licenses(table(spark, texts)).collect() if r.doc_id in (0, 1, 3)]
 
 
+def test_licenses_side_by_side(spark):
+    def shingles(text):
+        w = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+        return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+    every = list(licenses.TEMPLATES.values())
+    texts = [None, *(lead + a + " " + b for a in every[:6] for b in every[6:] for lead in ("", "one two three "))]
+    got = {(r.doc_id, r.license): (r.containment, r.first_word, r.last_word) for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        own = shingles(t or "")
+        for name, template in licenses.TEMPLATES.items():
+            known = set(shingles(template))
+            held = len(known & set(own)) / len(known)
+            if held >= 0.8:
+                at = [n for n, x in enumerate(own) if x in known]
+                want[i, name] = (held, at[0], at[-1])
+    assert got == want
+
+
 def test_quality_and_mix_edges(spark):
     docs = table(spark, EDGES)
     assert line_quality.quality(docs).count() == len(EDGES) and line_quality.quality(table(spark, [])).count() == 0
