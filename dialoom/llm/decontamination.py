@@ -2,12 +2,13 @@
 hash-joined with the benchmark's, and slots must agree for a match to count.
 
 Template tokens are white-space separated words without marks around them, in lower case; <num> for numbers, <unit> for known
-units, <name> for capitalised words that do not begin a sentence, a run of them being one. Windows with fewer than half literal
-tokens say little and count only for items that have no others; an item shorter than k is one window of its own length.
+units, <name> for capitalised words, a run of them in a sentence being one. Words that begin a sentence are read twice: as they
+stand, and as names unless they are usual openers (OPENERS). Windows with fewer than half literal tokens say little and count only
+for items that have no others; an item shorter than k is one window of its own length.
 
-A document holds an item if at least `share` of the item's windows stand in it. Its slots are then read off the aligned windows:
-within an alignment, an item's value must always become the same document value and the other way round. All equal: `exact`; a
-consistent change: `reparameterised`; else the match is dropped.
+A document holds an item if at least `share` of the item's windows, in one reading of the item, stand in readings of the document
+whose slots are consistent: within an alignment, an item's value must always become the same document value (two may become the
+same). All equal: `exact`; a change: `reparameterised`; else the match is dropped.
 
 Scale: the benchmark is counted; up to MAX_TOKENS tokens it is one broadcast hash table, a larger one is cut into shards of that
 size by item, with a pass over the documents for each. Documents are never shuffled.
@@ -40,12 +41,19 @@ UNITS = frozenset(
     "meter meters metre metres kilometer kilometers centimeter centimeters inch inches foot feet yard yards mile miles gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees degree watts volts".split()
 )
+#: Words that begin sentences and are not names.
+OPENERS = frozenset(
+    "a an the this that these those there here he she it they we you i his her its their our your my if when while after before then now how what which who whose where why "
+    "and but or so because since as at in on of for from by to with without each every all both some many most one two three another other no not is are was were do does did has have had can could would should "
+    "yesterday today tomorrow later finally first next also however suppose assume given let find calculate read "
+    "el la los las un una en de y si cuando cuánto cuántos le les des du une et dans il elle der die das ein eine und wenn wie er sie es im".split()
+)
 _MARKS = "\"'`.,;:!?()[]{}<>«»“”‘’…*_"
 _END = re.compile(r"[.!?][\"'”’)\]]*$")
 
 
 def _code(word: str) -> int:
-    """A 62-bit number: the template token, with the lowest bit for the end of a sentence and the next for a capital."""
+    """A 63-bit number: the template token, with the lowest bit for the end of a sentence, then one for a capital and one for an opener."""
     plain = word.strip(_MARKS)
     end = bool(_END.search(word))
     if _NUMBER.fullmatch(plain):
@@ -55,7 +63,7 @@ def _code(word: str) -> int:
     else:
         token = int.from_bytes(hashlib.blake2b(plain.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 4 | 16
         capital = plain[:1].isupper() and plain[1:2].islower()
-    return token << 2 | capital << 1 | end
+    return token << 3 | (plain.lower() in OPENERS) << 2 | capital << 1 | end
 
 
 class Templates:
@@ -70,8 +78,9 @@ class Templates:
             self.codes[word] = code
         return code
 
-    def of(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
-        """Tokens of all texts, where each text's begin (n + 1), the words of each text, and each token's word (in its text)."""
+    def of(self, many: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[list[str]]]:
+        """The two readings of all texts, with words that begin a sentence as they stand and as names: tokens, where each text's
+        begin (n + 1) and each token's word (in its text); and the words of each text."""
         if len(self.codes) > CACHE_WORDS:
             self.codes.clear()
         words = [x.split() for x in many]
@@ -81,15 +90,17 @@ class Templates:
         opens = np.ones(len(codes), bool)
         opens[1:] = codes[:-1] & 1
         opens[first[:-1][first[:-1] < len(codes)]] = True
-        tokens = codes >> 2
-        name = (codes & 2 > 0) & ~opens
-        tokens[name] = NAME
-        again = np.zeros(len(codes), bool)
-        again[1:] = name[1:] & name[:-1]
-        again[first[:-1][first[:-1] < len(codes)]] = False
-        keep = np.flatnonzero(~again)
-        at = keep - np.repeat(first[:-1], np.diff(first))[keep]
-        return tokens[keep].astype(np.uint64), np.searchsorted(keep, first), words, at
+        capital = codes & 2 > 0
+        base = np.repeat(first[:-1], np.diff(first))
+        out = []
+        for name in (capital & ~opens, capital & ~(opens & (codes & 4 > 0))):
+            tokens = codes >> 3
+            tokens[name] = NAME
+            again = np.zeros(len(codes), bool)
+            again[1:] = name[1:] & name[:-1] & ~opens[1:]
+            keep = np.flatnonzero(~again)
+            out.append((tokens[keep].astype(np.uint64), np.searchsorted(keep, first), keep - base[keep]))
+        return out, words
 
 
 def _windows(tokens: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,25 +119,35 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k = k
-        tokens, first, words, at = Templates().of([t for _, t in items])
+        readings, words = Templates().of([t for _, t in items])
         self.ids = [i for i, _ in items]
-        self.tokens = [tokens[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.slots = [_values(words[n], at[a:b]) for n, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
-        self.windows = [0] * len(items)
-        self.posted: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        sizes = np.diff(first)
-        for size in sorted({min(k, int(s)) for s in sizes} - {0}):
-            h, ok, rich = _windows(tokens, first, size)
-            posted: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for n, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if min(k, b - a) != size:
-                    continue
-                own = [j for j in range(a, b) if ok[j]]
-                own = [j for j in own if rich[j]] or own
-                self.windows[n] = len(own)
-                for j in own:
-                    posted[int(h[j])].append((n, j - a))
-            self.posted[size] = dict(posted)
+        #: By reading and item, numbered through: a variant v is of item v % len(ids).
+        self.sizes: list[int] = []
+        self.slots: list[list[str]] = []
+        self.windows = [0] * (len(readings) * len(items))
+        self.posted: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for r, (tokens, first, at) in enumerate(readings):
+            plain, starts = readings[0][:2]
+            sizes = [min(k, int(n)) for n in np.diff(first)]
+            bounds = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+            self.sizes += sizes
+            self.slots += [_values(words[n], at[a:b]) for n, (a, b) in enumerate(bounds)]
+            for size in sorted(set(sizes) - {0}):
+                h, ok, rich = _windows(tokens, first, size)
+                for n, (a, b) in enumerate(bounds):
+                    if sizes[n] != size or r and np.array_equal(tokens[a:b], plain[starts[n] : starts[n + 1]]):
+                        continue
+                    every = [j for j in range(a, b) if ok[j]]
+                    own = [j for j in every if rich[j]]
+                    if r and not own:  # names only: the other reading says more
+                        continue
+                    own = own or every
+                    v = r * len(items) + n
+                    # a reading with fewer windows must not be easier to reach
+                    self.windows[v] = max(len(own), self.windows[n])
+                    for j in own:
+                        self.posted[size][int(h[j])].append((v, j - a))
+        self.posted = {size: dict(p) for size, p in self.posted.items()}
         self.sorted = {size: np.sort(np.array(list(p), np.uint64)) for size, p in self.posted.items()}
 
 
@@ -144,13 +165,12 @@ def _aligned(pairs: list[tuple[int, int]], size: int, tokens: np.ndarray, values
     verdict = None
     for shift, starts in by.items():
         there: dict[str, str] = {}
-        back: dict[str, str] = {}
         same = ok = True
         for q in {q + j for q in starts for j in range(size)}:
             if tokens[q + shift] < 16:
                 a, b = item[q], values[q + shift]
                 same &= a == b
-                ok &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
+                ok &= there.setdefault(a, b) == b
         if same:
             return "exact"
         if ok:
@@ -160,31 +180,42 @@ def _aligned(pairs: list[tuple[int, int]], size: int, tokens: np.ndarray, values
 
 def matches(bench: Benchmark, templates: Templates, many: list[str], share: float) -> list[tuple[int, int, float, str]]:
     """(text, item, share of its windows, kind) of each item that a text holds."""
-    tokens, first, words, at = templates.of(many)
-    found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for size, keys in bench.sorted.items():
-        if len(tokens) < size:
+    readings, words = templates.of(many)
+    found: dict[tuple[int, int], list[list[tuple[int, int]]]] = defaultdict(lambda: [[] for _ in readings])
+    for r, (tokens, first, _) in enumerate(readings):
+        for size, keys in bench.sorted.items():
+            if len(tokens) < size:
+                continue
+            h, ok, _ = _windows(tokens, first, size)
+            bits = np.zeros(1 << 18, bool)
+            bits[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            maybe = np.flatnonzero(bits[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] & ok)
+            slot = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            hit = maybe[keys[slot] == h[maybe]]
+            text = np.searchsorted(first, hit, "right") - 1
+            posted = bench.posted[size]
+            for j, t in zip(hit.tolist(), text.tolist(), strict=True):
+                for v, q in posted[int(h[j])]:
+                    found[t, v][r].append((j - int(first[t]), q))
+    best: dict[tuple[int, int], tuple[float, bool, str]] = {}
+    for (t, v), both in found.items():
+        if len({q for pairs in both for _, q in pairs}) < share * bench.windows[v]:
             continue
-        h, ok, _ = _windows(tokens, first, size)
-        bits = np.zeros(1 << 18, bool)
-        bits[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-        maybe = np.flatnonzero(bits[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] & ok)
-        slot = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-        hit = maybe[keys[slot] == h[maybe]]
-        text = np.searchsorted(first, hit, "right") - 1
-        posted = bench.posted[size]
-        for j, t in zip(hit.tolist(), text.tolist(), strict=True):
-            for n, q in posted[int(h[j])]:
-                found[t, n].append((j - int(first[t]), q))
-    out = []
-    for (t, n), pairs in found.items():
-        held = len({q for _, q in pairs}) / bench.windows[n]
-        if held >= share:
+        held: set[int] = set()
+        most, kind = 0, None
+        for pairs, (tokens, first, at) in zip(both, readings, strict=True):
             a, b = int(first[t]), int(first[t + 1])
-            kind = _aligned(pairs, min(bench.k, len(bench.tokens[n])), tokens[a:b], _values(words[t], at[a:b]), bench.slots[n])
-            if kind:
-                out.append((t, n, held, kind))
-    return out
+            own = {q for _, q in pairs}
+            verdict = _aligned(pairs, bench.sizes[v], tokens[a:b], _values(words[t], at[a:b]), bench.slots[v]) if pairs else None
+            if verdict:
+                held |= own
+                if len(own) > most:
+                    most, kind = len(own), verdict
+        part = len(held) / bench.windows[v]
+        if kind and part >= share:
+            key = t, v % len(bench.ids)
+            best[key] = max(best.get(key, (0.0, False, "")), (part, kind == "exact", kind))
+    return [(t, n, part, kind) for (t, n), (part, _, kind) in best.items()]
 
 
 def shards(benchmark: DataFrame, k: int) -> list[Broadcast]:
@@ -192,7 +223,7 @@ def shards(benchmark: DataFrame, k: int) -> list[Broadcast]:
     spark = benchmark.sparkSession
     own = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
     total = own.select(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    n = total // MAX_TOKENS + 1
+    n = 2 * total // MAX_TOKENS + 1  # both readings
     out = []
     for s in range(n):
         part = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == s) if n > 1 else own

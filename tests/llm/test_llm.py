@@ -163,6 +163,17 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == table(spark, []).columns
 
 
+def test_decontamination_names_and_values(spark):
+    item = "Tom has 12 apples and 7 pears. Tom eats 3 of the apples today. How many apples are left?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swapped = item.replace("Tom", "Anna")
+    texts = [item, swapped, item.replace("12", "5").replace("7", "5"), swapped.replace("12", "5").replace("7", "5"), "Yesterday " + swapped, item.replace("Tom has", "Anna has").replace("Tom eats", "Robert eats"), "Anna has a dog. How many apples are left?"]
+    found = {r.doc_id: (r.contained, r.kind) for r in decontamination.contaminated(table(spark, texts), bench).collect()}
+    assert found[0] == (1.0, "exact") and all(found[i] == (1.0, "reparameterised") for i in (1, 2, 3)) and found[4][1] == "reparameterised"
+    assert set(found) == {0, 1, 2, 3, 4}
+    assert sorted(r.doc_id for r in decontamination.clean_rows(table(spark, texts), bench).collect()) == [5, 6]
+
+
 def test_licenses(spark):
     texts = [None, "", "words " * 30 + licenses.TEMPLATES["ISC"] + " more", "Licensed to nobody", licenses.TEMPLATES["MIT"].upper()]
     assert {(r.doc_id, r.license) for r in licenses.scan_licenses(table(spark, texts)).collect()} >= {(2, "ISC"), (4, "MIT")}
