@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,17 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import small_batches, texts, vocabulary
 
-#: Chunks, prefixes and pairs that a worker remembers; beyond it the memory is emptied.
-CACHE_CHUNKS, CACHE_LETTERS, CACHE_NODES, CACHE_PAIRS = 400_000, 40, 1_000_000, 500_000
-_SIMPLE = re.compile("([A-Za-z]+)([.,;:!?]*)")
-_CONTROLS = regex.compile("[\x1c-\x1f]")
+#: Chunks, prefixes and pairs that a worker remembers. Of chunks the last two generations stay, so that frequent ones are not lost with
+#: the rare ones; the others are emptied. Prefixes over SHARED_LETTERS and chunks over CACHE_LETTERS are not remembered.
+CACHE_CHUNKS, CACHE_LETTERS, CACHE_NODES, SHARED_LETTERS, CACHE_PAIRS = 500_000, 40, 250_000, 8, 500_000
+#: A word and marks after it, on the line or at the beginning of the next.
+_SIMPLE = regex.compile(r"(\n?)(\p{L}+)([.,;:!?]*)")
+_CONTROLS = re.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUN = regex.compile(r"\s{2,}(?=\S)")
+_ONE = [bytes([b]) for b in range(256)]
+#: 1 for each byte that begins a code point.
+_LEADS = bytes(0 if 0x80 <= b < 0xC0 else 1 for b in range(256))
 _counters: dict[str, PrefixCounter] = {}
 
 
@@ -58,62 +64,73 @@ class PrefixCounter:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._forget()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _follows(self, u: int, t: int) -> bool:
         """Whether t stays apart from u when both are encoded together; u = -1: whether t stays whole alone."""
-        known = self.pairs.get((u, t))
+        known = self.pairs.get(u << 20 | t)
         if known is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             s = self.word[t] if u < 0 else self.word[u] + self.word[t]
             known = [x.id for x in self.model.tokenize(s)] == ([t] if u < 0 else [u, t])
-            self.pairs[u, t] = known
+            self.pairs[u << 20 | t] = known
         return known
 
-    def _path(self, s: str) -> list[int]:
-        """The tree's nodes of the prefixes 0..n of s; a node keeps its prefix's last token and count, so that pre-tokens which
-        begin alike share the work."""
-        child, last, count, begin = self.child, self.last, self.count, self.begin
-        node, path = 0, [0]
+    def _known(self, s: str) -> bytes:
+        """Counts of the prefixes 1..n of a short pre-token. For short prefixes the last tokens and counts on the way and where the
+        last token begins are remembered, so that pre-tokens which begin alike share the work."""
+        nodes, n = self.nodes, len(s)
+        m = min(n, SHARED_LETTERS)
+        while (node := nodes.get(s[:m])) is None:
+            m -= 1
+        last, count, begin = node
+        if m == n:
+            return count[1:]
+        last, count = [*last], [*count]
+        get, pairs, follows = self.vocab.get, self.pairs.get, self._follows
+        for i in range(m + 1, n + 1):
+            # exactly one begin holds, so those that hold most often come first: the last token grown, a new one, a short one
+            t = get(s[begin:i]) if i > 1 else None
+            if t is None or not (follows(last[begin], t) if (known := pairs(last[begin] << 20 | t)) is None else known):
+                begin = i - 1
+                while (t := get(s[begin:i])) is None or not (follows(last[begin], t) if (known := pairs(last[begin] << 20 | t)) is None else known):
+                    begin -= 1
+            last.append(t)
+            count.append(count[begin] + 1)
+            if i <= SHARED_LETTERS:
+                nodes[s[:i]] = (tuple(last), bytes(count), begin)
+        return bytes(count[1:])
+
+    def _long(self, s: str) -> list[int]:
+        """Counts of the prefixes 1..n of any pre-token; nothing but pairs is remembered."""
         get, longest, follows = self.vocab.get, self.longest, self._follows
-        for i, c in enumerate(s, 1):
-            key = node << 10 | ord(c)
-            node = child.get(key, -1)
-            if node < 0:
-                node = child[key] = len(last)
-                # exactly one j holds, so those that hold most often come first: the last token grown, then a new one
-                for j in (begin[path[-1]], i - 1, *range(max(0, i - longest), i - 1)):
-                    t = get(s[j:i])
-                    if t is not None and follows(last[path[j]], t):
-                        last.append(t)
-                        count.append(count[path[j]] + 1)
-                        begin.append(j)
-                        break
-            path.append(node)
-        return path
+        last, count, begin = [-1], [0], [0]
+        for i in range(1, len(s) + 1):
+            for j in (begin[-1], *range(i - 1, max(0, i - longest) - 1, -1)):
+                t = get(s[j:i])
+                if t is not None and follows(last[j], t):
+                    last.append(t)
+                    count.append(count[j] + 1)
+                    begin.append(j)
+                    break
+        return count[1:]
 
     def _piece(self, piece: str) -> list[int]:
         """Counts of the prefixes 1..n code points of one pre-token."""
-        if piece.isascii():
-            path = self._path(piece if piece[0] != " " and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()]))[1:]
-        else:
-            raw = [x.encode("utf-8", "surrogatepass") for x in piece]
-            path = self._path("".join([self.letters[b] for x in raw for b in x]))
-            at, ends = 0, []
-            for x in raw:
-                at += len(x)
-                ends.append(at)
-            path = [path[i] for i in ends]
-        count = self.count
-        found = [count[k] for k in path]
+        raw = piece.encode("utf-8", "surrogatepass")
+        s = "".join([self.letters[b] for b in raw])
+        found = list(self._known(s) if len(s) <= CACHE_LETTERS else self._long(s))
+        if len(raw) > len(piece):
+            found = list(compress(found, raw.translate(_LEADS)[1:] + b"\1"))
         if piece in ("'re", "'ve", "'ll"):
             found[1] = found[0] + self._piece(piece[1])[0]  # "'r" is no contraction: two pre-tokens
         return found
 
     def _forget(self) -> None:
-        self.child, self.last, self.count, self.begin = {}, [-1], [0], [0]
+        self.nodes: dict[str, tuple[tuple[int, ...], bytes, int]] = {"": ((-1,), b"\0", 0)}
 
     def _split(self, text: str) -> list[int]:
         """Counts of the prefixes 1..n code points, by pre-tokens."""
@@ -131,13 +148,27 @@ class PrefixCounter:
         """The counts of a chunk that begins at white space and has no more of it; None: the text must be split as a whole."""
         if not chunk or chunk[-1].isspace() or chunk[0].isspace() and (chunk[0] != "\n" or chunk[1].isspace()):
             return None
-        if m := _SIMPLE.fullmatch(chunk):  # a word and marks after it: two pre-tokens at most
-            count = self.count
-            c = [count[k] for k in self._path("\u0120" + m[1])][1:]
-            if m[2]:
-                c += [c[-1] + x for x in self._piece(m[2])]
-        else:
-            c = self._split(chunk if chunk[0] == "\n" else " " + chunk)
+        if (found := self.older.get(chunk)) is not None:
+            self.chunks[chunk] = found
+            return found
+        m = _SIMPLE.fullmatch(chunk) if len(chunk) <= CACHE_LETTERS else None
+        if m:  # a word and marks after it: at most three pre-tokens
+            line, word, marks = m.groups()
+            raw = word.encode() if line else b" " + word.encode()
+            if word.isascii():
+                c = self._known(word if line else "\u0120" + word)
+            else:
+                c = self._known("".join([self.letters[b] for b in raw]))
+                c = bytes(compress(c, raw.translate(_LEADS)[1:] + b"\1"))
+            if line:
+                k = self._known("\u010a")[0]
+                c = _ONE[k] + bytes([k + x for x in c])
+            if marks:
+                k = c[-1]
+                c += bytes([k + x for x in self._known(marks)])
+            self.chunks[chunk] = c
+            return c
+        c = self._split(chunk if chunk[0] == "\n" else " " + chunk)
         if max(c) > 255:
             return None
         found = bytes(c)
@@ -150,13 +181,13 @@ class PrefixCounter:
         feed that a letter follows, pre-tokens always part; such chunks are remembered."""
         if not text:
             return np.zeros(1, np.int32)
-        if len(self.last) > CACHE_NODES:
+        if len(self.nodes) > CACHE_NODES:
             self._forget()
         head, *rest = text.replace("\n", " \n").split(" ")
         known = None
         if head and not head[-1].isspace() and not _CONTROLS.search(text):
             if len(self.chunks) > CACHE_CHUNKS:
-                self.chunks.clear()
+                self.chunks, self.older = {}, self.chunks
             get = self.chunks.get
             known = [get(x) or self._remember(x) for x in rest]
             if None in known:
