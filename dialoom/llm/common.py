@@ -16,20 +16,21 @@ WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 #: A broadcast side is counted first and has at most so many rows; beyond that the join is dealt by key.
 MAX_BROADCAST_ROWS = 2_000_000
-#: Rows of an Arrow batch: whole texts travel in them, so few.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: whole texts travel in them, so few.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that carry whole texts to Python; a smaller bound already set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches that carry whole texts to Python by rows and bytes; smaller bounds already set stay. Spark reads
+    the bounds when a query runs, not when it is made, so they are the session's from then on."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

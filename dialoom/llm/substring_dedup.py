@@ -6,15 +6,18 @@ shards are broadcast, documents are streamed through them for matching statistic
 over the whole corpus and every document streamed through every shard: work grows with the square of the input (README). It
 looks windows up by hash instead, which for a fixed length decides the same question:
 
-1. Map: batches of documents become 64-bit window hashes (numpy, no step for each word). Windows that a smaller document of the
+1. Map: batches of documents become 96-bit window hashes (numpy, no step for each word). Windows that a smaller document of the
    batch has are settled there, so a passage that a third of all documents share leaves each batch once. The other windows go,
-   8 bytes each, to partition hash % P, bundled by document; a document's settled windows travel as one bit mask.
-2. Each partition sorts its hashes, takes the smallest doc_id of each and sends one bit for each window back, bundled.
-3. Documents (compressed) and bits meet by document key; covered words are dropped.
-
-Two windows count as equal if their 64-bit hashes are. Input should be a table or another source that gives the same order when a
-task is run again. Defined cases: null text has no words; null doc_id is larger than any other and equal to its like; documents
-with equal doc_id never remove from each other; texts shorter than k words stay; the result has one row for each input row.
+   12 bytes each, to partition hash % P, bundled by document; a document's settled windows travel as one bit mask. P is at least
+   the number of shuffle partitions and grows with the text, so that a partition looks up about PART_BYTES of text at most.
+2. Each partition sorts its hashes, one range of them after the other, takes the smallest doc_id of each and sends one bit for
+   each window back, bundled.
+3. Documents (compressed) and bits meet by document key; covered words are dropped. Bits stay packed until their document comes.
+
+Two windows count as equal if their 96-bit hashes are (among 1e13 windows, 6e-4 false pairs are expected). Input should be a table
+or another source that gives the same order when a task is run again. Defined cases: null text has no words; null doc_id is larger
+than any other and equal to its like; documents with equal doc_id never remove from each other; texts shorter than k words stay;
+an empty table gives no rows; the result has one row for each input row.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from dialoom.llm.common import gathered, partitions, small_batches, texts
 from dialoom.llm.kernel import Words, runs
 from dialoom.llm.suffix_automaton import SuffixAutomaton
 
-#: Bytes of text hashed together; bounds a map task's memory.
-BATCH_BYTES = 6 << 20
+#: Bytes of text hashed together, bytes of text whose windows one partition looks up, and windows sorted at once; they bound a
+#: task's memory.
+BATCH_BYTES, PART_BYTES, SORTED = 6 << 20, 32 << 20, 500_000
 _LAST = np.iinfo(np.int64).max
 _ROWS = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -57,6 +61,23 @@ def _unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, memor
     return tag, ids, np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n), memoryview(data)[at + 8 * n :]
 
 
+def _hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of the windows that begin at each word, and whether there is one."""
+    words = w.hashes()
+    h, ok = w.windows(words, k)
+    return h, (w.windows(words, k, salt=1)[0] >> np.uint64(32)).astype(np.uint32), ok
+
+
+def _ordered(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, and where in it each run of equal windows begins."""
+    order = np.argsort(h)
+    same, other = h[order[1:]] == h[order[:-1]], g[order[1:]] != g[order[:-1]]
+    if (same & other).any():  # rare: windows that share the first 64 bits alone
+        order = np.lexsort((g, h))
+        same, other = h[order[1:]] == h[order[:-1]], g[order[1:]] != g[order[:-1]]
+    return order, np.concatenate([np.zeros(min(1, len(h)), np.int64), np.flatnonzero(~same | other) + 1])
+
+
 def _sections(data: bytes) -> Iterator[tuple]:
     at = 0
     while at < len(data):
@@ -86,16 +107,17 @@ def _send(k: int, parts: int):
             tag += 1
             ids, prints = _keys(batch)
             w = Words(texts(batch))
-            h, ok = w.windows(w.hashes(), k)
+            h, g, ok = _hashes(w, k)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            h, doc = h[at], w.of()[at]
-            order = np.argsort(h)
-            first = runs(h[order])
+            h, g, doc = h[at], g[at], w.of()[at].astype(np.int32)
+            del at, ok, w
+            order, first = _ordered(h, g)
             owner = np.repeat(np.minimum.reduceat(ids[doc[order]], first), np.diff(first, append=len(order)))
             settled = np.empty(len(h), bool)
             settled[order] = ids[doc[order]] > owner
+            del order, owner
             rows = []
             # the documents' masks of settled windows; a document without any needs none
             n_windows = np.bincount(doc, minlength=len(ids))
@@ -113,7 +135,7 @@ def _send(k: int, parts: int):
                 d = doc[left[own]]
                 s = runs(d)
                 docs = d[s]
-                rows.append((p, 0, _pack(tag, ids[docs], prints[docs], np.diff(s, append=len(d)), h[left[own]].astype("<u8").tobytes())))
+                rows.append((p, 0, _pack(tag, ids[docs], prints[docs], np.diff(s, append=len(d)), h[left[own]].astype("<u8").tobytes() + g[left[own]].astype("<u4").tobytes())))
             for i in range(0, len(rows), 64):
                 p, kind, data = zip(*rows[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=_ROWS)
@@ -123,20 +145,30 @@ def _send(k: int, parts: int):
 
 def _look_up(parts: int):
     def settle(p: int, held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        got = [_unpack(x) for x in held]
-        held.clear()
-        h = np.concatenate([np.frombuffer(x[4], "<u8") for x in got])
-        ids = np.concatenate([x[1] for x in got])
-        prints = np.concatenate([x[2] for x in got])
-        counts = np.concatenate([x[3] for x in got]).astype(np.int64)
-        tags = np.repeat(np.array([x[0] for x in got]), [len(x[1]) for x in got])
-        del got
-        order = np.argsort(h)
-        first = runs(h[order])
-        own = np.repeat(ids, counts)
-        least = np.minimum.reduceat(own[order], first)
-        late = np.empty(len(h), bool)
-        late[order] = own[order] > np.repeat(least, np.diff(first, append=len(order)))
+        heads, n = [], 0
+        sizes = [(len(x) - 32) for x in held]
+        h, g = np.empty(sum(sizes) // 12, np.uint64), np.empty(sum(sizes) // 12, np.uint32)
+        held.reverse()
+        while held:
+            tag, own, marks, sizes, rest = _unpack(held.pop())
+            m = len(rest) // 12
+            h[n : n + m], g[n : n + m] = np.frombuffer(rest, "<u8", m), np.frombuffer(rest, "<u4", m, 8 * m)
+            heads.append((np.full(len(own), tag), own.copy(), marks.copy(), sizes.astype(np.int64)))
+            n += m
+        h, g = h[:n], g[:n]
+        tags, ids, prints, counts = (np.concatenate(x) for x in zip(*heads, strict=True))
+        del heads
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        late = np.empty(n, bool)
+        ranges = min(256, 1 << (n // SORTED).bit_length())
+        band = (h >> np.uint64(56)).astype(np.uint8) & np.uint8(ranges - 1)
+        for r in range(ranges):
+            at = np.flatnonzero(band == r)
+            if len(at):
+                order, first = _ordered(h[at], g[at])
+                own = ids[doc[at[order]]]
+                late[at[order]] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(first, append=len(order)))
+        del h, g, doc, band
         begin = np.concatenate([[0], np.cumsum(counts)])
         some = np.flatnonzero(np.add.reduceat(late, begin[:-1], dtype=np.int64))
         if not len(some):
@@ -183,9 +215,40 @@ def _look_up(parts: int):
     return look_up
 
 
+class _Answers:
+    """The bits that a partition's documents are sent, packed as they come, and found by fingerprint and doc_id."""
+
+    def __init__(self):
+        self.bits, self.parts = bytearray(), []
+
+    def add(self, kind: int, data: bytes) -> None:
+        for tag, ids, prints, counts, rest in _sections(data):
+            n = counts.astype(np.int64)
+            size = (n + 7) // 8
+            self.parts.append((prints.copy(), ids.copy(), np.full(len(ids), tag), np.full(len(ids), kind), n, len(self.bits) + np.cumsum(size) - size))
+            self.bits += rest
+
+    def close(self) -> None:
+        if self.parts:
+            columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            self.print, self.id, self.tag, self.kind, self.n, self.at = (c[order] for c in columns)
+        self.parts = None
+
+    def of(self, id: int, mark: int) -> dict[int, dict[int, np.ndarray]]:
+        """By tag, the mask of settled windows (kind 1) and the bits from partition p (kind 2 + p)."""
+        found: dict[int, dict[int, np.ndarray]] = {}
+        if self.bits:
+            a, b = np.searchsorted(self.print, [mark, mark + 1])
+            for i in (a + np.flatnonzero(self.id[a:b] == id)).tolist():
+                n, at = int(self.n[i]), int(self.at[i])
+                packed = np.frombuffer(self.bits, np.uint8, (n + 7) // 8, at)
+                found.setdefault(int(self.tag[i]), {})[int(self.kind[i])] = np.unpackbits(packed, count=n).astype(bool)
+        return found
+
+
 def _flags(found: dict[int, dict[int, np.ndarray]], h: np.ndarray, parts: int) -> np.ndarray:
-    """Which windows of a document are to go: found has, by tag, the mask of settled windows (kind 1) and the bits from partition p
-    (kind 2 + p), in the order in which the windows left for it."""
+    """Which windows of a document are to go, from what _Answers.of() has, in the order in which the windows left for partitions."""
     out = np.zeros(len(h), bool)
     part = (h % np.uint64(parts)).astype(np.int64)
     for of in found.values():
@@ -228,38 +291,28 @@ def _finish(k: int, parts: int, keep_text: bool):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        found: dict[tuple[int, int], dict[int, dict[int, np.ndarray]]] = {}
-        now = -1
+        answers, before, words_left = _Answers(), None, []
         for batch in batches:
             out: list[tuple] = []
-            for p, kind, data, doc_id, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if p != now:
-                    found, now = {}, p
+            for kind, data, doc_id, mark in zip(*(batch.column(c).to_pylist() for c in ("kind", "data", "doc_id", "print")), strict=True):
                 if kind < 1 << 30:
-                    for tag, ids, prints, counts, rest in _sections(data):
-                        at = 0
-                        for i, f, n in zip(ids.tolist(), prints.tolist(), counts.tolist(), strict=True):
-                            size = (n + 7) // 8
-                            bits = np.unpackbits(np.frombuffer(rest[at : at + size], np.uint8), count=n).astype(bool)
-                            found.setdefault((i, f), {}).setdefault(tag, {})[kind] = bits
-                            at += size
+                    answers.add(kind, data)
                     continue
+                if answers.parts is not None:
+                    answers.close()
                 raw = b"" if data is None else z.decompress(data)
-                words = raw.split()  # at space and tab..carriage return, as bytes
-                own = found.get((_LAST if doc_id is None else doc_id, mark))
-                removed = 0
-                if own:
-                    w = Words(pa.array([raw], pa.large_binary()).view(pa.large_string()))
-                    h, ok = w.windows(w.hashes(), k)
-                    late = np.flatnonzero(_flags(own, h[ok], parts))
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, late, 1)
-                    np.add.at(edge, late + k, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    removed = int(len(words) - keep.sum())
-                    words_left = list(compress(words, keep.tolist()))
-                else:
-                    words_left = words
+                if (doc_id, mark, raw) != before:  # equal rows come one after another
+                    before = doc_id, mark, raw
+                    words_left = words = raw.split()  # at space and tab..carriage return, as bytes
+                    if own := answers.of(_LAST if doc_id is None else doc_id, mark):
+                        w = Words(pa.array([raw], pa.large_binary()).view(pa.large_string()))
+                        h, ok = w.windows(w.hashes(), k)
+                        late = np.flatnonzero(_flags(own, h[ok], parts))
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edge, late, 1)
+                        np.add.at(edge, late + k, -1)
+                        words_left = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+                removed = len(words) - len(words_left)
                 left = b" ".join(words_left)
                 out.append((doc_id, len(words), removed, hashlib.sha256(left).hexdigest(), *[left.decode()] * keep_text))
             if out:
@@ -271,15 +324,17 @@ def _finish(k: int, parts: int, keep_text: bool):
 def dedup(docs: DataFrame, k: int = 13, parts: int | None = None, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by single spaces) and, with keep_text, the kept words
     for each row of docs(doc_id, text)."""
-    parts = parts or max(8, partitions(docs.sparkSession))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(8, partitions(docs.sparkSession), -(-size // PART_BYTES))
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__row"))
     kinds = "p int, kind int, data binary"
-    sent = own.mapInArrow(_send(k, parts), kinds).repartitionById(parts, F.col("p")).sortWithinPartitions("p")
+    sent = own.mapInArrow(_send(k, parts), kinds).repartitionById(parts, F.col("p"))
     back = sent.mapInArrow(_look_up(parts), kinds)
     whole = own.mapInArrow(_compress(parts), kinds + ", doc_id long, print long")
     met = back.withColumn("doc_id", F.lit(None).cast("long")).withColumn("print", F.lit(None).cast("long")).unionByName(whole)
-    met = met.repartitionById(parts, F.col("p")).sortWithinPartitions("p", "kind")
+    met = met.repartitionById(parts, F.col("p")).sortWithinPartitions("kind", "print", "doc_id")
     return met.mapInArrow(_finish(k, parts, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
 
 
