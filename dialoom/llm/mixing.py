@@ -8,11 +8,16 @@ copy that finishes later is cut there, so each source gives its target to the wo
 Targets share the budget by weight, up to `epochs` times the source's size; the excess is shared again by weight. With sources
 sorted by cap / weight, the level is the largest of (budget - caps before) / (weights from here on): the fixed point of resharing.
 
+Each source's queue has its own order, and virtual times of different sources only decide who is served first: at virtual time 1
+each has had its target, so `taken` is what a source's queue gives up to there, and the final sort by virtual finish is the order of
+service (tests run the queue itself against this).
+
 Scale: a source with a third of all documents is cut into buckets by the leading hex digits of its hash order, so running sums
-are taken inside (source, bucket) and the buckets' own sums before it are added; only (id, source, size, order) is shuffled.
+are taken inside (source, bucket) and the buckets' own sums before it are added; only (id, source, size, order) is shuffled. Equal
+rows are one entry with a count until the end, so one row repeated a million times is no hot bucket.
 
-Defined cases: null text has size 0 and takes 0; null source is the last source; equal doc_ids are ordered by size; an empty
-table gives no rows; a source without words has target 0.
+Defined cases: null text has size 0 and takes 0; null source is the last source; equal doc_ids are ordered by size; equal rows
+follow each other; an empty table gives no rows; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WORD, checkpointed, sized_join
+from dialoom.llm.common import WORD, scratch, sized_join, stored
 
 #: Documents that a bucket of the running sum holds on average, at most.
 BUCKET_ROWS = 20_000
@@ -52,18 +57,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: floa
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
     """For each row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, virtual_finish (of its first copy;
     null where the target is 0) and __key (a hash of the row), in the order in which first copies are served."""
-    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("__key"))
-    goal = checkpointed(targets(sizes, weights, budget, epochs))
+    folder = scratch(docs.sparkSession, "mixing")
+    key = F.xxhash64(docs["doc_id"], docs["text"], docs["source"])
+    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("__key"))
+    sizes = stored(sizes, folder, "sizes")
+    goal = stored(targets(sizes, weights, budget, epochs), folder, "targets")
     most = goal.agg(F.max("docs")).first()[0] or 0
     digits = min(8, max(1, math.ceil(math.log(max(1, most / BUCKET_ROWS), 16))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    own = sizes.withColumn("__source", F.coalesce("source", F.lit("\x00"))).withColumn("__o", order).withColumn("__b", F.substring("__o", 1, digits))
-    sums = own.groupBy("__source", "__b").agg(F.sum("size").alias("__s"))
+    host = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    equal = sizes.withColumn("__source", host).groupBy("__source", "doc_id", "size", "__key").agg(F.count("*").alias("__times"))
+    own = equal.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, digits))
+    sums = own.groupBy("__source", "__b").agg(F.sum(F.col("size") * F.col("__times")).alias("__s"))
     ahead = F.coalesce(F.sum("__s").over(W.partitionBy("__source").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("size").over(W.partitionBy("__source", "__b").orderBy("__o", "doc_id", "size", "__key").rowsBetween(W.unboundedPreceding, -1))
-    run = sized_join(own.withColumn("__in", F.coalesce(inside, F.lit(0))), sums.select("__source", "__b", ahead.alias("__ahead")), ["__source", "__b"], "inner")
-    run = sized_join(run, goal.select(F.coalesce("source", F.lit("\x00")).alias("__source"), "source_size", "target"), ["__source"], "inner")
-    start = F.col("__ahead") + F.col("__in")
+    sums = stored(sums.select("__source", "__b", ahead.alias("__ahead")), folder, "buckets")
+    inside = F.sum(F.col("size") * F.col("__times")).over(W.partitionBy("__source", "__b").orderBy("__o", "doc_id", "size", "__key").rowsBetween(W.unboundedPreceding, -1))
+    run = sized_join(own.withColumn("__in", F.coalesce(inside, F.lit(0))), sums, ["__source", "__b"], "inner")
+    run = sized_join(run, goal.select(host.alias("__source"), "source_size", "target"), ["__source"], "inner")
+    run = run.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+    start = F.col("__ahead") + F.col("__in") + F.col("__copy") * F.col("size")
     whole = F.floor("target")
     taken = F.lit(0)
     for k in range(epochs):
@@ -74,12 +86,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, epochs: int = 2) -> DataFrame:
-    """The mix as rows with the columns of docs: each row as often as it is taken, a last part of at least half counting as one."""
-    taken = mix(docs, weights, budget, epochs).groupBy("__key").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    times = F.floor((F.col("__taken") + F.floor(F.col("__size") / 2)) / F.col("__size")).cast("int")
-    copies = taken.where(F.col("__size") > 0).select("__key", times.alias("__times")).where(F.col("__times") > 0)
-    out = docs.withColumn("__key", F.xxhash64(docs["doc_id"], docs["text"], docs["source"])).join(copies, "__key")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """The mix as rows with the columns of docs: each row as often as it is taken, a last part of at least half counting as one.
+    Equal rows share what all of them are given: each stands as often as comes out even, the rest is given to the first of them."""
+    taken = mix(docs, weights, budget, epochs).where("size > 0")
+    times = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.col("size")).cast("long")
+    shared = taken.groupBy("__key").agg(F.sum(times).alias("__all"), F.count("*").alias("__rows")).where("__all > 0")
+    shared = shared.select(F.col("__key").alias("__dl_key"), F.expr("__all div __rows").alias("__dl_each"), F.expr("__all % __rows").alias("__dl_rest"))
+    shared = stored(shared, scratch(docs.sparkSession, "mixing"), "times")
+    keyed = docs.withColumn("__dl_key", F.xxhash64(docs["doc_id"], docs["text"], docs["source"]))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+
+    def repeated(rows: DataFrame, n: str) -> DataFrame:
+        return rows.withColumn("__dl_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*names)
+
+    even = repeated(sized_join(keyed, shared.where("__dl_each > 0"), ["__dl_key"], "inner", salts=1), "__dl_each")
+    odd = shared.where("__dl_rest > 0")
+    if odd.isEmpty():
+        return even
+    return even.union(repeated(sized_join(keyed, odd, ["__dl_key"], "inner", salts=1).dropDuplicates(["__dl_key"]), "__dl_rest"))
 
 
 ORACLE = r"""
