@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import partitions, scratch, small_batches, texts, vocabulary
+from dialoom.llm.common import partitions, passing_shuffles, scratch, small_batches, texts, vocabulary
 from dialoom.llm.token_counts import byte_letters
 
 #: Words of a worker's memory; beyond it the memory is emptied. Longer words are encoded anew each time.
@@ -146,9 +146,15 @@ def write_tokens(docs: DataFrame, folder: str, vocab: str, end_id: int = 1, part
         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema([("stem", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("nulls", pa.int64()), ("tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    kinds = "stem string, width int, docs long, nulls long, tokens long, first long, last long"
     # One row for each part, so the manifest is bounded by the number of partitions; parts hold disjoint ranges of doc_id.
-    found = dealt.mapInArrow(encode, "stem string, width int, docs long, nulls long, tokens long, first long, last long").collect()
+    with passing_shuffles(spark):
+        dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts or partitions(spark), "doc_id")
+        found = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(encode, kinds).collect()
+    kept = {r["stem"] for r in found}
+    for info in fs.get_file_info(pafs.FileSelector(root)):  # what failed attempts have left
+        if info.base_name.startswith("part-") and info.base_name.split(".")[0] not in kept:
+            fs.delete_file(info.path)
     found.sort(key=lambda r: (r["first"] is not None, r["first"] or 0))
     manifest = {"vocabulary": vocab, "end_id": end_id, "parts": []}
     base = base_doc = 0
