@@ -6,15 +6,15 @@ shards are broadcast, documents are streamed through them for matching statistic
 over the whole corpus and every document streamed through every shard: work grows with the square of the input (README). It
 looks windows up by hash instead, which for a fixed length decides the same question:
 
-1. Map: batches of documents become 96-bit window hashes (numpy, no step for each word). Windows that a smaller document of the
+1. Map: batches of documents become 80-bit window hashes (numpy, no step for each word). Windows that a smaller document of the
    batch has are settled there, so a passage that a third of all documents share leaves each batch once. The other windows go,
-   12 bytes each, to partition hash % P, bundled by document; a document's settled windows travel as one bit mask. P is at least
+   10 bytes each, to partition hash % P, bundled by document; a document's settled windows travel as one bit mask. P is at least
    the number of shuffle partitions and grows with the text, so that a partition looks up about PART_BYTES of text at most.
 2. Each partition sorts its hashes, one range of them after the other, takes the smallest doc_id of each and sends one bit for
    each window back, bundled.
 3. Documents (compressed) and bits meet by document key; covered words are dropped. Bits stay packed until their document comes.
 
-Two windows count as equal if their 96-bit hashes are (among 1e13 windows, 6e-4 false pairs are expected). Input should be a table
+Two windows count as equal if their 80-bit hashes are (among 1e13 windows, some 40 false pairs are expected). Input should be a table
 or another source that gives the same order when a task is run again. Defined cases: null text has no words; null doc_id is larger
 than any other and equal to its like; documents with equal doc_id never remove from each other; texts shorter than k words stay;
 an empty table gives no rows; the result has one row for each input row.
@@ -44,28 +44,29 @@ _ROWS = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()
 
 
 def _pack(tag: int, ids: np.ndarray, prints: np.ndarray, counts: np.ndarray, rest: bytes) -> bytes:
-    """tag, number of documents, their ids (32 bits over the least where they fit), fingerprints and counts, then `rest`."""
+    """tag, number of documents, their ids (over the least, in as few bytes as fit), fingerprints and counts, then `rest`."""
     least = int(ids.min())
-    narrow = int(ids.max()) - least < 1 << 32
-    head = np.array([tag, len(ids), least, narrow], "<i8").tobytes()
-    own = (ids.astype(np.uint64) - np.uint64(least & (1 << 64) - 1)).astype("<u4") if narrow else ids.astype("<i8")
-    return head + own.tobytes() + prints.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + rest
+    span, top = int(ids.max()) - least, int(counts.max())
+    width = next(b for b in (2, 4, 8) if span < 1 << 8 * b)
+    size = next(b for b in (1, 2, 4) if top < 1 << 8 * b)
+    own = (ids.astype(np.uint64) - np.uint64(least & (1 << 64) - 1)).astype(f"<u{width}")
+    head = np.array([tag, len(ids), least, width << 8 | size], "<i8").tobytes()
+    return head + own.tobytes() + prints.astype("<u4").tobytes() + counts.astype(f"<u{size}").tobytes() + rest
 
 
 def _unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, memoryview]:
-    tag, n, least, narrow = np.frombuffer(data, "<i8", 4).tolist()
-    at, width = 32, 4 if narrow else 8
-    own = np.frombuffer(data, "<u4" if narrow else "<i8", n, at)
-    ids = (own.astype(np.uint64) + np.uint64(least & (1 << 64) - 1)).astype(np.int64) if narrow else own
-    at += n * width
-    return tag, ids, np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n), memoryview(data)[at + 8 * n :]
+    tag, n, least, sizes = np.frombuffer(data, "<i8", 4).tolist()
+    width, size = sizes >> 8, sizes & 255
+    ids = (np.frombuffer(data, f"<u{width}", n, 32).astype(np.uint64) + np.uint64(least & (1 << 64) - 1)).astype(np.int64)
+    at = 32 + n * width
+    return tag, ids, np.frombuffer(data, "<u4", n, at), np.frombuffer(data, f"<u{size}", n, at + 4 * n), memoryview(data)[at + (4 + size) * n :]
 
 
 def _hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64 and 32 bits of hash of the windows that begin at each word, and whether there is one."""
+    """64 and 16 bits of hash of the windows that begin at each word, and whether there is one."""
     words = w.hashes()
     h, ok = w.windows(words, k)
-    return h, (w.windows(words, k, salt=1)[0] >> np.uint64(32)).astype(np.uint32), ok
+    return h, (w.windows(words, k, salt=1)[0] >> np.uint64(48)).astype(np.uint16), ok
 
 
 def _ordered(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +136,7 @@ def _send(k: int, parts: int):
                 d = doc[left[own]]
                 s = runs(d)
                 docs = d[s]
-                rows.append((p, 0, _pack(tag, ids[docs], prints[docs], np.diff(s, append=len(d)), h[left[own]].astype("<u8").tobytes() + g[left[own]].astype("<u4").tobytes())))
+                rows.append((p, 0, _pack(tag, ids[docs], prints[docs], np.diff(s, append=len(d)), h[left[own]].astype("<u8").tobytes() + g[left[own]].astype("<u2").tobytes())))
             for i in range(0, len(rows), 64):
                 p, kind, data = zip(*rows[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=_ROWS)
@@ -146,13 +147,13 @@ def _send(k: int, parts: int):
 def _look_up(parts: int):
     def settle(p: int, held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         heads, n = [], 0
-        sizes = [(len(x) - 32) for x in held]
-        h, g = np.empty(sum(sizes) // 12, np.uint64), np.empty(sum(sizes) // 12, np.uint32)
+        most = sum(map(len, held)) // 10
+        h, g = np.empty(most, np.uint64), np.empty(most, np.uint16)
         held.reverse()
         while held:
             tag, own, marks, sizes, rest = _unpack(held.pop())
-            m = len(rest) // 12
-            h[n : n + m], g[n : n + m] = np.frombuffer(rest, "<u8", m), np.frombuffer(rest, "<u4", m, 8 * m)
+            m = len(rest) // 10
+            h[n : n + m], g[n : n + m] = np.frombuffer(rest, "<u8", m), np.frombuffer(rest, "<u2", m, 8 * m)
             heads.append((np.full(len(own), tag), own.copy(), marks.copy(), sizes.astype(np.int64)))
             n += m
         h, g = h[:n], g[:n]
