@@ -2,7 +2,7 @@
 hash-joined with the benchmark's, and slots must agree for a match to count.
 
 Template tokens are white-space separated words without marks around them, in lower case; <num> for numbers, <unit> for known
-units, <name> for capitalised words, a run of them in a sentence being one. Words that begin a sentence are read twice: as they
+units right after a number, <name> for capitalised words, a run of them in a sentence being one. Words that begin a sentence are read twice: as they
 stand, and as names unless they are usual openers (OPENERS). Windows with fewer than half literal tokens say little and count only
 for items that have no others; an item shorter than k is one window of its own length.
 
@@ -53,17 +53,17 @@ _END = re.compile(r"[.!?][\"'”’)\]]*$")
 
 
 def _code(word: str) -> int:
-    """A 63-bit number: the template token, with the lowest bit for the end of a sentence, then one for a capital and one for an opener."""
+    """A 63-bit number: the template token, with the lowest bit for the end of a sentence, then one for a capital, one for an opener
+    and one for a unit, which is one only after a number."""
     plain = word.strip(_MARKS)
     end = bool(_END.search(word))
+    unit = plain.lower() in UNITS or plain == "%"
     if _NUMBER.fullmatch(plain):
         token, capital = NUM, False
-    elif plain.lower() in UNITS and not plain.isupper() or plain == "%":
-        token, capital = UNIT, False
     else:
-        token = int.from_bytes(hashlib.blake2b(plain.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 4 | 16
+        token = int.from_bytes(hashlib.blake2b(plain.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 5 | 16
         capital = plain[:1].isupper() and plain[1:2].islower()
-    return token << 3 | (plain.lower() in OPENERS) << 2 | capital << 1 | end
+    return token << 4 | unit << 3 | (plain.lower() in OPENERS) << 2 | capital << 1 | end
 
 
 class Templates:
@@ -90,12 +90,14 @@ class Templates:
         opens = np.ones(len(codes), bool)
         opens[1:] = codes[:-1] & 1
         opens[first[:-1][first[:-1] < len(codes)]] = True
-        capital = codes & 2 > 0
+        unit = np.zeros(len(codes), bool)
+        unit[1:] = (codes[1:] & 8 > 0) & (codes[:-1] >> 4 == NUM) & ~opens[1:]
+        capital = (codes & 2 > 0) & ~unit
         base = np.repeat(first[:-1], np.diff(first))
         out = []
         for name in (capital & ~opens, capital & ~(opens & (codes & 4 > 0))):
-            tokens = codes >> 3
-            tokens[name] = NAME
+            tokens = codes >> 4
+            tokens[unit], tokens[name] = UNIT, NAME
             again = np.zeros(len(codes), bool)
             again[1:] = name[1:] & name[:-1] & ~opens[1:]
             keep = np.flatnonzero(~again)
@@ -164,13 +166,13 @@ def _aligned(pairs: list[tuple[int, int]], size: int, tokens: np.ndarray, values
         by[p - q].append(q)
     verdict = None
     for shift, starts in by.items():
-        there: dict[str, str] = {}
+        there: dict[tuple[int, str], str] = {}
         same = ok = True
         for q in {q + j for q in starts for j in range(size)}:
-            if tokens[q + shift] < 16:
+            if (kind := int(tokens[q + shift])) < 16:
                 a, b = item[q], values[q + shift]
                 same &= a == b
-                ok &= there.setdefault(a, b) == b
+                ok &= there.setdefault((kind, a), b) == b
         if same:
             return "exact"
         if ok:

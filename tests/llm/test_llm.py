@@ -225,3 +225,18 @@ def test_pipeline(spark):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
     assert duckdb.__version__
+
+
+def test_units_follow_numbers_and_slots_must_agree(spark):
+    item = "a train moves 60 km in an hour and a bus moves 40 km in the same hour so how far apart are both after 3 hours"
+    bench = spark.createDataFrame([(1, item), (None, "entirely other words with no number stand here in this second item of the bench")], "item_id long, text string")
+    texts = [item, item.replace("60", "4").replace("40", "4"), item.replace("40 km", "40 miles"), item.replace("in an", "by an"), item.replace("km", "mi").replace("hour", "day"), "x " * 3000 + item, item, item]
+    found = {r.doc_id: (r.item_id, r.kind) for r in decontamination.contaminated(table(spark, texts), bench).collect()}
+    assert found[0] == found[5] == found[6] == found[7] == (1, "exact") and found[1] == (1, "reparameterised")
+    assert found.get(2) is None  # km becomes both km and miles
+    codes, _ = decontamination.Templates().of(["a in second 5 in second"])
+    kinds = [int(x) if x < 16 else 16 for x in codes[0][0]]
+    assert kinds == [16, 16, 16, decontamination.NUM, decontamination.UNIT, 16]
+    assert decontamination.contaminated(table(spark, []), bench).count() == 0
+    clash = bench.withColumnRenamed("item_id", "item_id").selectExpr("item_id", "text", "'x' AS doc_id", "'y' AS source")
+    assert decontamination.clean_rows(table(spark, texts), clash).columns == table(spark, []).columns
