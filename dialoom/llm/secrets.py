@@ -13,6 +13,7 @@ no span; equal rows give equal results; offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|(?!(?-i:[a-z])))|secret|token|(?:api|private|access)[ _-]?key|credential|bearer|authorization|signature)", re.ASCII | re.IGNORECASE)
 #: The rest of an identifier and its assignment.
 _ASSIGNED = re.compile(r"""[A-Za-z0-9_.-]{0,64}["'\]]{0,2}\x20*(?::=|=>|[:=])""")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 #: Only texts that match are looked at one by one.
 _ANY = r"(?i:pass|secret|token|(?:api|private|access)[ _-]?key|credential|bearer|authorization|signature)|AKIA[A-Z0-9]|[0-9a-f]{16}"
 #: Common identifiers, the dictionary's fixed part.
@@ -66,11 +67,39 @@ class Novelty:
         return 8 * (len(c.compress(lead + text[start:end].encode())) - len(c.compress(lead))) / (end - start)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, min_bits: float, reach: int) -> list[tuple[int, int, str]]:
-    """Incompressible strings that begin within `reach` characters after a sensitive word, or on the line right after one found, and
-    overlap no span yet."""
-    out: list[tuple[int, int]] = []
+class _Taken:
+    """Spans that stand already, merged and sorted, so that a search is logarithmic."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e, _ in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, start: int, end: int) -> bool:
+        """Adds a span unless it overlaps one; whether it was added."""
+        i = bisect_right(self.ends, start)
+        if i < len(self.starts) and self.starts[i] < end:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i == len(self.starts) or self.starts[i] >= end
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, min_bits: float, reach: int, min_chars: int = 16, min_distinct: int = 8) -> list[tuple[int, int, str]]:
+    """Incompressible strings of at least `min_chars` characters, `min_distinct` of them different, that begin within `reach`
+    characters after a sensitive word, or on the line right after one found, and overlap no span yet."""
+    out: set[tuple[int, int]] = set()
     tested: set[tuple[int, int]] = set()
+    busy = _Taken(taken)
     for m in _SENSITIVE.finditer(text):
         value = _ASSIGNED.match(text, m.end())
         # the value without its identifier first, then all strings after the word
@@ -80,25 +109,27 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
                 if c.start() > m.end() + reach and not (value and c.start() <= value.end() + reach) and (last is None or text[last : c.start()].strip("\r\n\t \\\"',+")):
                     break
                 span = c.span()
-                if span in tested:
-                    if span in out:
-                        last = span[1]
+                if span[1] - span[0] < min_chars:
                     continue
-                tested.add(span)
-                if not any(s < span[1] and span[0] < e for s, e, *_ in (*taken, *out)) and len(set(c[0])) >= 8 and novelty.bits(text, *span) >= min_bits:
-                    out.append(span)
+                if span not in tested:
+                    tested.add(span)
+                    if busy.free(*span) and len(set(c[0])) >= min_distinct and novelty.bits(text, *span) >= min_bits:
+                        busy.add(*span)
+                        out.add(span)
+                if span in out:
                     last = span[1]
     return [(s, e, "novel") for s, e in out]
 
 
-def scan_secrets(docs: DataFrame, min_bits: float = 5.0, reach: int = 80) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_bits: float = 5.0, reach: int = 80, min_chars: int = 16, min_distinct: int = 8, around: int = 512) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_assign, n_access, n_hex, n_novel, base (the patterns' spans) and spans (all
-    of them), both kind:start:end by start and then kind, comma-joined."""
+    of them), both kind:start:end by start and then kind, comma-joined. min_bits to min_distinct say what is novel (novel_spans),
+    `around` how many characters on each side prime the compressor."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("spans", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(around)
         show = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
         for batch in batches:
             col = texts(batch)
@@ -107,7 +138,7 @@ def scan_secrets(docs: DataFrame, min_bits: float = 5.0, reach: int = 80) -> Dat
             for i in pc.indices_nonzero(pc.match_substring_regex(col, _ANY)).to_pylist():
                 text = col[i].as_py()
                 found = base_spans(text)
-                every = sorted(found + novel_spans(text, found, novelty, min_bits, reach), key=lambda x: (x[0], KINDS.index(x[2])))
+                every = sorted(found + novel_spans(text, found, novelty, min_bits, reach, min_chars, min_distinct), key=lambda x: (x[0], KINDS.index(x[2])))
                 for _, _, kind in every:
                     counts[KINDS.index(kind)][i] += 1
                 base[i], both[i] = show(found), show(every)

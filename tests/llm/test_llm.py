@@ -240,3 +240,23 @@ def test_units_follow_numbers_and_slots_must_agree(spark):
     assert decontamination.contaminated(table(spark, []), bench).count() == 0
     clash = bench.withColumnRenamed("item_id", "item_id").selectExpr("item_id", "text", "'x' AS doc_id", "'y' AS source")
     assert decontamination.clean_rows(table(spark, texts), clash).columns == table(spark, []).columns
+
+
+def test_secret_base_spans_by_brute_force(spark):
+    import re
+
+    rnd = random.Random(9)
+    pool = ["password", "PassWd", "secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "hello", "é", "🎉", "\n", "AbC/+=.-_9" * 2, "x" * 12, ":="]
+    texts = [None, "", "pass: q9Zr7LxT2vWm8PbK4sYd1HgC6 ok", "word " * 20_000 + "secret = abcdefABCDEF12", *["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 30))) for _ in range(300)]]
+    texts += texts[-3:]
+    shapes = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = []
+        for rank, (kind, shape) in enumerate(shapes.items()):
+            for m in re.finditer(shape, t or "", re.ASCII):
+                long = len(m[1]) >= 12 if kind == "assign" else len(m[0]) >= (18 if kind == "access" else 16)
+                spans += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}")] * long
+        assert got[i].base == ",".join(x for *_, x in sorted(spans)), t
+        assert set(filter(None, got[i].base.split(","))) <= set(got[i].spans.split(","))
+    assert got[2].n_novel == 1 and secrets.scan_secrets(table(spark, [])).count() == 0
