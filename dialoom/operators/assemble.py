@@ -82,7 +82,7 @@ def plan(dialogues: DataFrame, max_uses: int = 5, eval_max_uses: int = 3, min_se
 
     own = dialogues.select("split", F.col("dialogue_id").cast("string").alias("dialogue_id"), F.col("domain").cast("string").alias("domain"), F.col("source_doc_id").cast("string").alias("source_doc_id"), F.coalesce(F.col("address").cast("string"), F.lit("")).alias("address"))
     if shards > 1:
-        own = own.withColumn("split", F.concat_ws("#", "split", F.pmod(F.xxhash64("dialogue_id"), F.lit(shards)).cast("string")))
+        own = own.withColumn("split", F.concat_ws("#", "split", F.pmod(F.xxhash64("address"), F.lit(shards)).cast("string")))
     return own.groupBy("split").applyInPandas(build, PLAN).withColumn("split", F.split_part("split", F.lit("#"), F.lit(1)))
 
 
@@ -129,3 +129,9 @@ def unused(dialogues: DataFrame, planned: DataFrame) -> DataFrame:
     """split and how many of its dialogues no session uses."""
     rest = dialogues.join(planned.select("dialogue_id").distinct(), "dialogue_id", "left_anti")
     return rest.groupBy("split").agg(F.count(F.lit(1)).alias("n_unused"))
+
+
+def session_sizes(planned: DataFrame) -> DataFrame:
+    """split, n_segs and how many sessions have so many segments."""
+    each = planned.groupBy("split", "session_id").agg(F.count(F.lit(1)).alias("n_segs"))
+    return each.groupBy("split", "n_segs").agg(F.count(F.lit(1)).alias("n_sessions"))

@@ -30,18 +30,31 @@ def win_tie_loss(diffs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return diffs.groupBy("metric").agg(F.avg("base").alias("base"), F.avg("cand").alias("cand"), count(d < -tolerance).alias("wins"), count(F.abs(d) <= tolerance).alias("ties"), count(d > tolerance).alias("losses"))
 
 
-def bootstrap(diffs: DataFrame, n_boot: int = 1000, seed: str = "0") -> DataFrame:
+def by_improvement(diffs: DataFrame, metric: str = "pk") -> DataFrame:
+    """The documents from the most improved (lowest diff) to the least."""
+    return diffs.where(F.col("metric") == metric).orderBy("diff", "dialogue_id")
+
+
+#: Documents whose differences are broadcast; two numbers each.
+MAX_PLACES = 500_000
+
+
+def bootstrap(diffs: DataFrame, n_boot: int = 10_000, seed: str = "0") -> DataFrame:
     """metric, low, high (the middle 95 % of resampled means) and p_not_better (share of means >= 0). Each resample draws n of n
-    documents with replacement. n_boot x n rows are made where they are summed; the documents' differences are dealt by place."""
+    documents with replacement. n_boot x n draws are made and summed in place: differences are broadcast up to MAX_PLACES after a
+    count, so that only a sum for each resample leaves a task; beyond that, draws are counted and dealt by place."""
     place = F.row_number().over(W.partitionBy("metric").orderBy("dialogue_id")) - 1
     ranked = diffs.select("metric", "diff", place.alias("place"))
     sizes = ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    slots = ranked.select("metric", F.col("place").alias("slot")).join(F.broadcast(sizes), "metric")
+    parts = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = ranked.select("metric", F.col("place").alias("slot")).join(F.broadcast(sizes), "metric").repartition(parts, "metric", "slot")
     boots = slots.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = boots.withColumn("place", (draw(seed, "boot", "slot") % F.col("n")).cast("int"))
-    # resamples of a document are counted before its difference is fetched
-    times = drawn.groupBy("metric", "boot", "place", "n").agg(F.count(F.lit(1)).alias("times"))
-    means = times.join(ranked, ["metric", "place"]).groupBy("metric", "boot").agg(F.round(F.sum(F.col("diff") * F.col("times")) / F.first("n"), 9).alias("mean"))
+    drawn = boots.select("metric", "boot", "n", (draw(seed, "boot", "slot") % F.col("n")).cast("int").alias("place"))
+    if ranked.limit(MAX_PLACES + 1).count() <= MAX_PLACES:
+        times = drawn.join(F.broadcast(ranked), ["metric", "place"]).withColumn("times", F.lit(1))
+    else:
+        times = drawn.groupBy("metric", "boot", "place", "n").agg(F.count(F.lit(1)).alias("times")).join(ranked, ["metric", "place"])
+    means = times.groupBy("metric", "boot").agg(F.round(F.sum(F.col("diff") * F.col("times")) / F.first("n"), 9).alias("mean"))
     ends = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy("metric").agg(ends[0].alias("low"), ends[1].alias("high"), F.avg((F.col("mean") >= 0).cast("double")).alias("p_not_better"))
 

@@ -35,3 +35,23 @@ def stratified(buckets: DataFrame, target: int = 250, seed: str = "43") -> DataF
     """The first target // 4 of each bucket in a drawn order, with their place in it."""
     place = F.row_number().over(W.partitionBy("bucket").orderBy(rank_key(seed, "dialogue_id")))
     return buckets.withColumn("place", place).where(F.col("place") <= target // 4)
+
+
+def pool_by_suffix(dialogues: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The dialogues whose id ends, after its last underscore, in one of suffixes(suffix)."""
+    own = dialogues.withColumn("suffix", F.element_at(F.split("dialogue_id", "_"), -1))
+    return own.join(suffixes.select("suffix").distinct(), "suffix", "left_semi").drop("suffix")
+
+
+def joint_manifest(val: DataFrame, test: DataFrame) -> DataFrame:
+    """The rows of both splits, each with the name of its own."""
+    return val.withColumn("split", F.lit("val")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def oversampled(sessions: DataFrame, candidates: int = 600, seed: str = "43") -> DataFrame:
+    """sessions(dialogue_id, n_tokens) repeated, in a drawn order, until there are `candidates` of them: copy counts from 0. Where
+    there are as many already, the first `candidates` in that order. Few sessions of one split: one task numbers them."""
+    place = F.row_number().over(W.orderBy(rank_key(seed, F.lit("candidate"), "dialogue_id"))) - 1
+    rows = sessions.withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
+    copies = F.floor((F.lit(candidates) - 1 - F.col("place")) / F.col("n")).cast("int")
+    return rows.where(F.col("place") < candidates).withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("place", "n")

@@ -44,9 +44,14 @@ def split_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("split").agg(F.countDistinct("source_doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_jobs"))
 
 
-def fact_text(value: Column, nested: bool = True) -> Column:
-    """A list or map of texts as one line; other values as text."""
-    return F.array_join(value, "; ") if nested else value.cast("string")
+def in_domains(docs: DataFrame, domains: list[str]) -> DataFrame:
+    """The source documents of the named domains."""
+    return docs.where(F.col("domain").isin(domains))
+
+
+def accepted_by_split(judged: DataFrame) -> DataFrame:
+    """judged(split, outcome, ...) -> split and how many dialogues it took in."""
+    return judged.where("outcome = 'accepted'").groupBy("split").agg(F.count(F.lit(1)).alias("n_accepted"))
 
 
 def jobs(splits: DataFrame, facts: DataFrame, per_doc: int = 8, min_turns: int = 3, max_turns: int = 12, seed: str = "42") -> DataFrame:
@@ -104,10 +109,12 @@ def outcomes(jobs: DataFrame, replies: DataFrame, existing: DataFrame, tolerance
     key = F.md5(F.to_json(F.transform("utts", lambda u: F.trim(u["text"]))))
     rows = rows.withColumn("text_key", F.when(F.col("reason").isNull(), key))
     known = existing.select("text_key", F.lit(True).alias("is_known")).where("text_key is not null").distinct()
-    rows = rows.join(known, "text_key", "left")
-    first = F.row_number().over(W.partitionBy("text_key").orderBy("job_id"))
-    good = rows.where("reason is null").withColumn("outcome", F.when(F.col("is_known") | (first > 1), "duplicate").otherwise("accepted"))
-    bad = rows.where("reason is not null").withColumn("outcome", F.col("reason"))
+    # the order of jobs: by `seq` where jobs have one, else by job_id with its numbers as numbers
+    order = [F.col("seq")] if "seq" in jobs.columns else [F.transform(F.split("job_id", "_"), lambda x: F.lpad(x, 20, "0"))]
+    good = rows.where("reason is null").join(known, "text_key", "left")  # failures have no key and stay out of the join
+    first = F.row_number().over(W.partitionBy("text_key").orderBy(*order, "job_id"))
+    good = good.withColumn("outcome", F.when(F.col("is_known") | (first > 1), "duplicate").otherwise("accepted"))
+    bad = rows.where("reason is not null").withColumn("is_known", F.lit(None).cast("boolean")).withColumn("outcome", F.col("reason"))
     return good.unionByName(bad).drop("is_done", "has_reply", "parse_error", "is_known", "reason")
 
 

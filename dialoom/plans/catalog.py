@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions import text as tx
-from dialoom.operators import assemble, compare, encode, evalsplit, losses, metrics, runlog, samples, scoring, segment, stats, synth, windows
+from dialoom.operators import assemble, compare, encode, evalsplit, losses, metrics, prompts, runlog, samples, scoring, segment, stats, synth, windows
 from dialoom.plans.sql import ORACLE_SQL  # noqa: F401
 from dialoom.sources import conversations as cv
 from dialoom.sources import dialogue_text
@@ -348,12 +348,12 @@ def win_tie_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    return compare.bootstrap(_diffs(spark, folder), n_boot=200)
+    return compare.bootstrap(_diffs(spark, folder))
 
 
 @query
 def wilcoxon(spark: SparkSession, folder: str) -> DataFrame:
-    return compare.wilcoxon(_diffs(spark, folder)).select("metric", "n", "w", "z")
+    return compare.wilcoxon(_diffs(spark, folder)).select("metric", "n", "w", "z", "p")
 
 
 @query
@@ -397,3 +397,81 @@ def epoch_means(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def early_stopping(spark: SparkSession, folder: str) -> DataFrame:
     return runlog.early_stopping(_epochs(spark, folder), "val_pk").select("run", "epoch", "val_pk", "best", "is_best", "bad", "stopped")
+
+
+@query
+def domain_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return synth.in_domains(_sources(spark, folder), ["src2", "src5"]).select("doc_id", "domain")
+
+
+@query
+def job_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.with_prompts(_jobs(spark, folder)).select("job_id", F.md5("prompt").alias("prompt"), "own", "other")
+
+
+@query
+def addressed_dialogues(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = prompts.with_prompts(_jobs(spark, folder))
+    jobs = jobs.withColumn("prompt", F.when(F.col("num_turns") == 5, F.lit("no form of address")).otherwise(F.col("prompt")))
+    dialogues = jobs.select(F.concat(F.lit("d_"), "job_id", F.when(F.col("num_turns") == 7, "_lost").otherwise("")).alias("dialogue_id"), "domain")
+    return prompts.with_address(dialogues, jobs)
+
+
+@query
+def fact_lines(spark: SparkSession, folder: str) -> DataFrame:
+    js = F.to_json(F.struct("lang", F.struct(F.col("domain").alias("name"), F.array("n_chars", F.array("doc_id")[0]).alias("sizes")).alias("source")))
+    return _sources(spark, folder).where("lang is not null and domain is not null").select("doc_id", prompts.fact_text(js).alias("facts"))
+
+
+@query
+def accepted_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("conv_id")
+    split = _asked(spark, folder).select("job_id", F.when(c % 5 == 3, "val").when(c % 5 == 4, "test").otherwise("train").alias("split"))
+    return synth.accepted_by_split(_judged(spark, folder).join(split, "job_id"))
+
+
+@query
+def suffix_pool(spark: SparkSession, folder: str) -> DataFrame:
+    pool = _pool(spark, folder)
+    suffixes = pool.where("split <> 'train'").select(F.element_at(F.split("dialogue_id", "_"), -1).alias("suffix"))
+    return evalsplit.pool_by_suffix(pool, suffixes).select("dialogue_id", "split")
+
+
+@query
+def eval_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    own = _buckets(spark, folder).withColumn("s", F.col("dialogue_id") % 5)
+    val, test = (evalsplit.stratified(own.where(F.col("s") == k).drop("s"), target=16) for k in (3, 4))
+    return evalsplit.joint_manifest(val, test)
+
+
+@query
+def oversampled_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    counts = evalsplit.token_counts(utterances(spark, folder).where("split = 'val'"))
+    return evalsplit.oversampled(counts)
+
+
+@query
+def session_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    own = utterances(spark, folder).select("split", F.col("dialogue_id").alias("session_id"), "seg_rank").distinct()
+    return assemble.session_sizes(own)
+
+
+@query
+def documents_by_improvement(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.by_improvement(_diffs(spark, folder)).select("dialogue_id", "base", "cand", "diff")
+
+
+@query
+def comparison_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    base = metrics.baseline(utterances(spark, folder), "even").where("dialogue_id % 7 <> 0")
+    return compare.coverage(base, _per_doc(spark, folder).where("dialogue_id % 3 <> 1"))
+
+
+@query
+def retry_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return synth.retries(_judged(spark, folder)).select("job_id", "outcome")
+
+
+@query
+def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
+    return losses.norms(_vectors(spark, folder)).select("win", "i", "norm")

@@ -111,11 +111,18 @@ _PARTS += [
     ("bkt", "SELECT dialogue_id, n_tokens, CASE WHEN n_tokens <= l[CAST(floor(0.25 * n) AS BIGINT) + 1] THEN 0 WHEN n_tokens <= l[CAST(floor(0.5 * n) AS BIGINT) + 1] THEN 1 WHEN n_tokens <= l[CAST(floor(0.75 * n) AS BIGINT) + 1] THEN 2 ELSE 3 END AS bucket FROM cnt, ql WHERE split <> 'train'"),
     ("dif", "SELECT b.dialogue_id, 'pk' AS metric, b.pk AS base, c.pk AS cand, round(c.pk - b.pk, 9) AS diff FROM m_even b JOIN m_lex c USING (dialogue_id) UNION ALL SELECT b.dialogue_id, 'wd', b.wd, c.wd, round(c.wd - b.wd, 9) FROM m_even b JOIN m_lex c USING (dialogue_id)"),
     ("bt0", "SELECT metric, diff, row_number() OVER (PARTITION BY metric ORDER BY dialogue_id) - 1 AS place, count(*) OVER (PARTITION BY metric) AS n FROM dif"),
-    ("bt", f"SELECT s.metric, boot, round(sum(d.diff) / max(s.n), 9) AS mean FROM (SELECT metric, n, place AS slot, boot, {draw(repr('0'), 'boot', 'place')} % n AS pick FROM bt0, range(200) b(boot)) s JOIN bt0 d ON s.metric = d.metric AND s.pick = d.place GROUP BY s.metric, boot"),
+    ("bt", f"SELECT s.metric, boot, round(sum(d.diff) / max(s.n), 9) AS mean FROM (SELECT metric, n, place AS slot, boot, {draw(repr('0'), 'boot', 'place')} % n AS pick FROM bt0, range(10000) b(boot)) s JOIN bt0 d ON s.metric = d.metric AND s.pick = d.place GROUP BY s.metric, boot"),
     ("wx0", "SELECT metric, abs(diff) AS a, count(*) AS t, count(*) FILTER (diff > 0) AS up FROM dif WHERE diff <> 0 GROUP BY ALL"),
     ("wx1", "SELECT *, coalesce(sum(t) OVER (PARTITION BY metric ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS r FROM wx0"),
     ("wx2", "SELECT metric, CAST(sum(t) AS DOUBLE) AS n, least(sum(r * up), sum(r * (t - up))) AS w, CAST(sum(t * t * t - t) AS DOUBLE) AS tied FROM wx1 GROUP BY metric"),
     ("wx3", "SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM wx2"),
+    ("prm", f"""SELECT *, ['em', 'em', 'cháu', 'cháu', 'tôi', 'tôi'][a] AS own, ['anh', 'chị', 'cô', 'chú', 'anh', 'chị'][a] AS other, CASE WHEN b = 0 THEN 'trả lời ngắn' ELSE 'trả lời đủ ý' END AS answers, list_transform(list_sort(list_transform(facts, lambda x: md5('42|' || job_id || '|' || x) || x))[:k], lambda y: '- ' || substr(y, 33)) AS used
+      FROM (SELECT *, {draw(repr('42'), repr('address'), 'job_id')} % 6 + 1 AS a, {draw(repr('42'), repr('answers'), 'job_id')} % 2 AS b FROM job)"""),
+    ("ps0", "SELECT vec_id // 16 AS win, vec_id % 16 AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings"),
+    ("ps1", "SELECT win, i, dim, avg(x) OVER (PARTITION BY win, dim ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, avg(x) OVER (PARTITION BY win, dim ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS b FROM ps0"),
+    ("ps2", "SELECT win, i, round(1 / (1 + exp(-sum(a * b) / (greatest(sqrt(sum(a * a)), 1e-8) * greatest(sqrt(sum(b * b)), 1e-8)))), 9) AS score FROM ps1 WHERE b IS NOT NULL GROUP BY win, i"),
+    ("ps3", "SELECT *, CASE WHEN coalesce(lag(score) OVER o < score, true) THEN score END AS le, CASE WHEN coalesce(lead(score) OVER o < score, true) THEN score END AS re FROM ps2 WINDOW o AS (PARTITION BY win ORDER BY i)"),
+    ("ps4", "SELECT win, i, round(0.5 * (last_value(le IGNORE NULLS) OVER (PARTITION BY win ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + first_value(re IGNORE NULLS) OVER (PARTITION BY win ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * score), 9) AS depth FROM ps3"),
     ("e", "SELECT vec_id, vec_id // 16 AS win, vec_id // 64 AS batch, vec_id % 16 AS i, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"),
     ("pc", "SELECT a.win, a.i, b.i AS j, a.label = b.label AS same, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-8) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-8)) AS cos FROM e a JOIN e b ON a.win = b.win AND a.i <> b.i"),
     ("ml", "SELECT p.win, p.i, avg(greatest(0.0, 1.0 - (p.cos - n.cos))) AS loss FROM pc p JOIN pc n ON p.win = n.win AND p.i = n.i AND p.same AND NOT n.same GROUP BY ALL"),
@@ -207,7 +214,7 @@ ORACLE_SQL: dict[str, str] = {
     "stratified_split": _q(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {rank(repr('43'), 'dialogue_id')}) AS place FROM bkt) WHERE place <= 62"),
     "win_tie_loss": _q("SELECT metric, round(avg(base), 6) AS base, round(avg(cand), 6) AS cand, count(*) FILTER (diff < -1e-9) AS wins, count(*) FILTER (abs(diff) <= 1e-9) AS ties, count(*) FILTER (diff > 1e-9) AS losses FROM dif GROUP BY metric"),
     "paired_bootstrap": _q("SELECT metric, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_not_better FROM bt GROUP BY metric"),
-    "wilcoxon": _q("SELECT metric, CAST(n AS BIGINT) AS n, round(w, 6) AS w, round(z, 6) AS z FROM wx3"),
+    "wilcoxon": _q("SELECT metric, CAST(n AS BIGINT) AS n, round(w, 6) AS w, round(z, 6) AS z, round(least(1.0, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)), 6) AS p FROM (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x FROM wx3))"),
     "pairwise_cosine": _q("SELECT win, i, j, same, round(cos, 6) AS cos FROM pc"),
     "mean_pool": _q("SELECT win, label, dim - 1 AS dim, round(avg(x), 6) AS mean FROM (SELECT win, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e) GROUP BY win, label, dim"),
     "margin_loss": _q("SELECT win, count(*) AS anchors, round(avg(loss), 6) AS loss FROM ml GROUP BY win"),
@@ -215,4 +222,21 @@ ORACLE_SQL: dict[str, str] = {
     "topic_margin_loss": _q("SELECT batch, count(*) AS anchors, round(avg(loss), 6) AS loss FROM tm GROUP BY batch"),
     "early_stopping": _q("SELECT run, epoch, round(val_pk, 6) AS val_pk, round(best, 6) AS best, is_best, bad, coalesce(max(CASE WHEN bad >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM ep3"),
     "epoch_means": _q("SELECT run, epoch, n_steps, round(val_pk, 6) AS val_pk FROM ep0"),
+    "pseudo_boundaries": _q("SELECT win AS dialogue_id, i + 1 AS start FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY depth DESC, i DESC) AS r FROM ps4) WHERE r <= 5 UNION ALL SELECT DISTINCT win, 0 FROM ps2"),
+    "domain_documents": _q("SELECT doc_id, domain FROM doc WHERE domain IN ('src2', 'src5')"),
+    "job_prompts": _q(
+        "SELECT job_id, md5('Viết một đoạn hội thoại về ' || doc_id || ' (lĩnh vực: ' || domain || '). Công dân: ' || persona || ', tự xưng \"' || own || '\", gọi cán bộ là \"' || other || '\". Đúng ' || num_turns || ' lượt. Mở đầu: ' || opener"
+        " || '. Kết thúc: ' || closing || '. Cán bộ ' || answers || CASE WHEN clarify THEN ', có một lần hỏi lại' ELSE '' END || '.' || chr(10) || array_to_string(used, chr(10))) AS prompt, own, other FROM prm"
+    ),
+    "addressed_dialogues": _q("SELECT 'd_' || job_id || CASE WHEN num_turns = 7 THEN '_lost' ELSE '' END AS dialogue_id, domain, CASE WHEN num_turns NOT IN (5, 7) THEN own || '|' || other END AS address FROM prm"),
+    "fact_lines": _q("SELECT doc_id, 'lang: ' || lang || '; source: name: ' || domain || '; sizes: ' || coalesce(CAST(n_chars AS VARCHAR), 'null') || '; ' || coalesce(CAST(doc_id AS VARCHAR), 'null') AS facts FROM doc WHERE lang IS NOT NULL AND domain IS NOT NULL"),
+    "accepted_by_split": _q("SELECT CASE conv_id % 5 WHEN 3 THEN 'val' WHEN 4 THEN 'test' ELSE 'train' END AS split, count(*) AS n_accepted FROM outc JOIN rep0 USING (job_id) WHERE outcome = 'accepted' GROUP BY ALL"),
+    "suffix_pool": _q("SELECT DISTINCT 'd_' || lpad(CAST(conv_id AS VARCHAR), 8, '0') AS dialogue_id, CASE conv_id % 5 WHEN 3 THEN 'val_in' ELSE 'test_in' END AS split FROM conversations WHERE conv_id % 5 >= 3"),
+    "eval_manifest": _q(f"SELECT dialogue_id, n_tokens, bucket, place, split FROM (SELECT *, CASE dialogue_id % 5 WHEN 3 THEN 'val' ELSE 'test' END AS split, row_number() OVER (PARTITION BY bucket, dialogue_id % 5 ORDER BY {rank(repr('43'), 'dialogue_id')}) AS place FROM bkt) WHERE place <= 4"),
+    "oversampled_sessions": _q(f"SELECT dialogue_id, n_tokens, unnest(range((599 - place) // n + 1)) AS copy FROM (SELECT dialogue_id, n_tokens, row_number() OVER (ORDER BY {rank(repr('43'), repr('candidate'), 'dialogue_id')}) - 1 AS place, count(*) OVER () AS n FROM cnt WHERE split = 'val') WHERE place < 600"),
+    "session_sizes": _q("SELECT split, n_seg AS n_segs, count(*) AS n_sessions FROM (SELECT DISTINCT split, dialogue_id, n_seg FROM u) GROUP BY ALL"),
+    "documents_by_improvement": _q("SELECT dialogue_id, round(base, 6) AS base, round(cand, 6) AS cand, round(diff, 6) AS diff FROM dif WHERE metric = 'pk'"),
+    "comparison_coverage": _q("SELECT count(*) FILTER (dialogue_id % 7 <> 0) AS n_base, count(*) FILTER (dialogue_id % 3 <> 1) AS n_candidate, count(*) FILTER (dialogue_id % 7 <> 0 AND dialogue_id % 3 <> 1) AS n_shared FROM m_even"),
+    "retry_jobs": _q("SELECT job_id, outcome FROM outc WHERE outcome NOT IN ('accepted', 'already_ingested')"),
+    "vector_norms": _q("SELECT win, i, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM e"),
 }

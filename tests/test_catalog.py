@@ -17,7 +17,7 @@ def test_rows_equal_the_sql(spark, con, name):
 
 
 def test_every_query_has_sql_but_the_sequential_ones():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"assemble_sessions", "adjacent_domain_rate", "unused_dialogues", "pseudo_boundaries"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"assemble_sessions", "adjacent_domain_rate", "unused_dialogues"}
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
