@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.sources.records import REPLY, latest_replies, whole_replies
+from dialoom.sources.records import REPLY, whole_replies
 
 
 def ingest_available(spark: SparkSession, incoming: str, replies: str, failed: str, checkpoint: str) -> None:
@@ -21,8 +21,9 @@ def ingest_available(spark: SparkSession, incoming: str, replies: str, failed: s
     def append(batch: DataFrame, _: int) -> None:
         good, bad = whole_replies(batch)
         # Lines of a file come in order, so the last of a job's replies stays, however often the batch is run.
-        lines = good.withColumn("seq", F.monotonically_increasing_id())
-        latest_replies(lines).select(*good.columns).join(there(replies).select("job_id"), "job_id", "left_anti").write.mode("append").parquet(replies)
+        seq = F.monotonically_increasing_id()
+        last = good.withColumn("seq", seq).groupBy("job_id").agg(F.max_by(F.struct(*good.columns), "seq").alias("x")).select("x.*")
+        last.join(there(replies).select("job_id"), "job_id", "left_anti").write.mode("append").parquet(replies)
         bad.dropDuplicates(["job_id"]).join(there(failed).select("job_id"), "job_id", "left_anti").write.mode("append").parquet(failed)
 
     stream = spark.readStream.schema(REPLY).json(incoming)

@@ -109,3 +109,39 @@ def test_reply_stream_runs_again(spark, tmp_path):
     ingest_available(spark, *paths)
     assert sorted(r.job_id for r in spark.read.parquet(paths[1]).collect()) == ["a", "c"]
     assert [r.job_id for r in spark.read.parquet(paths[2]).collect()] == ["b"]
+
+
+def test_the_last_reply_of_a_batch_stays(spark, tmp_path):
+    from dialoom.streaming.replies import ingest_available
+
+    (tmp_path / "in").mkdir()
+    lines = ['{"job_id": "a", "output": "{\\"utterances\\": [%d]}"}' % k for k in range(3)]
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    ingest_available(spark, f"{tmp_path}/in", f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/check")
+    rows = [r.output for f in ("good", "bad") if (tmp_path / f).exists() for r in spark.read.parquet(f"{tmp_path}/{f}").collect()]
+    assert rows == ['{"utterances": [2]}']
+
+
+def test_prompts_are_filled_once_and_read_back(spark):
+    from dialoom.operators import prompts
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("1", 'tự xưng "em", gọi cán bộ là "chị".', "{b}"), ("2", "no", None), ("3", None, "x")], "job_id string, prompt string, a string")
+    assert [r.address for r in prompts.addresses(rows).orderBy("dialogue_id").collect()] == ["em|chị", None, None]
+    assert [r.x for r in rows.select(prompts.filled("<{a}|{b}>", {"a": F.col("a"), "b": F.lit("B")}).alias("x")).collect()] == ["<{b}|B>", "<|B>", "<x|B>"]
+    facts = spark.createDataFrame([('{"a": [1, {"b": "c", "d": [true, null]}], "e": "é"}',), (None,), ("plain",)], "j string")
+    assert [r.x for r in facts.select(prompts.fact_text("j").alias("x")).collect()] == ["a: 1; b: c; d: true; null; e: é", None, "plain"]
+
+
+def test_duplicates_go_by_the_order_of_jobs(spark):
+    from dialoom.operators import synth
+    from pyspark.sql import functions as F
+
+    reply = '{"utterances": [{"speaker": "citizen", "text": "hello"}, {"speaker": "officer", "text": "yes"}]}'
+    jobs = spark.createDataFrame([("10_00", 2), ("2_00", 2), ("3_00", 2)], "job_id string, num_turns int")
+    replies = spark.createDataFrame([("10_00", reply), ("2_00", reply)], "job_id string, output string")
+    none = spark.createDataFrame([], "dialogue_id string, text_key string")
+    assert {r.job_id: r.outcome for r in synth.outcomes(jobs, replies, none).collect()} == {"2_00": "accepted", "10_00": "duplicate", "3_00": "missing_reply"}
+    turned = jobs.withColumn("seq", F.when(F.col("job_id") == "10_00", 0).otherwise(1))
+    assert {r.job_id: r.outcome for r in synth.outcomes(turned, replies, none).collect()}["10_00"] == "accepted"
+
