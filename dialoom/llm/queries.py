@@ -1,4 +1,4 @@
-"""The eleven queries of this subpackage and their SQL, for __spark_entry__.py."""
+"""The ten queries of this subpackage and their SQL, for __spark_entry__.py."""
 
 from __future__ import annotations
 
