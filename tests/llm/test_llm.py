@@ -180,15 +180,14 @@ def test_licenses(spark):
     assert not [r for r in licenses.scan_licenses(table(spark, texts)).collect() if r.doc_id in (0, 1, 3)]
 
 
-def test_licenses_side_by_side(spark):
+def licences_of(texts):
+    """Brute force: containment of every template in every whole text."""
+
     def shingles(text):
         w = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
         return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
-    every = list(licenses.TEMPLATES.values())
-    texts = [None, *(lead + a + " " + b for a in every[:6] for b in every[6:] for lead in ("", "one two three "))]
-    got = {(r.doc_id, r.license): (r.containment, r.first_word, r.last_word) for r in licenses.scan_licenses(table(spark, texts)).collect()}
-    want = {}
+    want = []
     for i, t in enumerate(texts):
         own = shingles(t or "")
         for name, template in licenses.TEMPLATES.items():
@@ -196,8 +195,37 @@ def test_licenses_side_by_side(spark):
             held = len(known & set(own)) / len(known)
             if held >= 0.8:
                 at = [n for n, x in enumerate(own) if x in known]
-                want[i, name] = (held, at[0], at[-1])
-    assert got == want
+                want.append((i, name, held, at[0], at[-1]))
+    return want
+
+
+def test_licenses_side_by_side(spark):
+    every = list(licenses.TEMPLATES.values())
+    texts = [None, *(lead + a + " " + b for a in every[:6] for b in every[6:] for lead in ("", "one two three "))]
+    assert sorted(map(tuple, licenses.scan_licenses(table(spark, texts)).collect())) == sorted(licences_of(texts))
+
+
+def test_licenses_edited_long_and_repeated(spark):
+    rnd = random.Random(3)
+    texts = [None, "", " ".join(words(60_000)) + " " + licenses.TEMPLATES["BSD"] + " " + " ".join(words(60_000, 1))]
+    for template in licenses.TEMPLATES.values():
+        for edits in (0, 0, 1, 1, 2, 3):
+            w = template.split()
+            for _ in range(edits):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randrange(2)] = [f"edit{rnd.randrange(9)}"] * rnd.randrange(3)
+            texts.append(" ".join(words(rnd.randrange(90), rnd.random()) + w + words(rnd.randrange(90), rnd.random())))
+    want = licences_of(texts)
+    assert sorted(map(tuple, licenses.scan_licenses(table(spark, texts)).collect())) == sorted(want)
+    twice = table(spark, texts[2:12])
+    assert sorted(map(tuple, licenses.scan_licenses(twice.union(twice)).collect())) == sorted(2 * licences_of(texts[2:12]))
+    assert licenses.scan_licenses(table(spark, [])).count() == 0
+
+
+def test_license_bands():
+    for held in (0.5, 0.8, 1.0):
+        n = licenses.bands(held, 1e-7)
+        assert (1 - held / (6 - held)) ** n <= 1e-7 < (1 - held / (6 - held)) ** (n - 1)
 
 
 def test_quality_and_mix_edges(spark):
