@@ -236,7 +236,7 @@ ORACLE_SQL: dict[str, str] = {
     "oversampled_sessions": _q(f"SELECT dialogue_id, n_tokens, unnest(range((599 - place) // n + 1)) AS copy FROM (SELECT dialogue_id, n_tokens, row_number() OVER (ORDER BY {rank(repr('43'), repr('candidate'), 'dialogue_id')}) - 1 AS place, count(*) OVER () AS n FROM cnt WHERE split = 'val') WHERE place < 600"),
     "session_sizes": _q("SELECT split, n_seg AS n_segs, count(*) AS n_sessions FROM (SELECT DISTINCT split, dialogue_id, n_seg FROM u) GROUP BY ALL"),
     "documents_by_improvement": _q("SELECT dialogue_id, round(base, 6) AS base, round(cand, 6) AS cand, round(diff, 6) AS diff FROM dif WHERE metric = 'pk'"),
-    "comparison_coverage": _q("SELECT count(*) FILTER (dialogue_id % 7 <> 0) AS n_base, count(*) FILTER (dialogue_id % 3 <> 1) AS n_candidate, count(*) FILTER (dialogue_id % 7 <> 0 AND dialogue_id % 3 <> 1) AS n_shared FROM m_even"),
+    "comparison_coverage": _q("SELECT count(b.dialogue_id) AS n_base, count(c.dialogue_id) AS n_candidate, count(b.dialogue_id + c.dialogue_id) AS n_shared FROM m_even b FULL JOIN m_lex c ON b.dialogue_id = c.dialogue_id"),
     "retry_jobs": _q("SELECT job_id, outcome FROM outc WHERE outcome NOT IN ('accepted', 'already_ingested')"),
     "vector_norms": _q("SELECT win, i, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM e"),
 }

@@ -1,11 +1,14 @@
 """Small fixtures worked out by hand."""
 
+import hashlib
 import json
+from collections import Counter
+from itertools import count
 
 from pyspark.sql import functions as F
 
 from dialoom.functions import arrays, text
-from dialoom.operators import evalsplit, metrics, runlog, segment, synth
+from dialoom.operators import assemble, compare, evalsplit, metrics, runlog, segment, synth
 from dialoom.sources import dialogue_text, records
 from dialoom.streaming.replies import ingest_available
 
@@ -145,3 +148,62 @@ def test_duplicates_go_by_the_order_of_jobs(spark):
     turned = jobs.withColumn("seq", F.when(F.col("job_id") == "10_00", 0).otherwise(1))
     assert {r.job_id: r.outcome for r in synth.outcomes(turned, replies, none).collect()}["10_00"] == "accepted"
 
+
+
+def test_coverage_counts_documents_of_either_side(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "dialogue_id int")
+    assert tuple(compare.coverage(ids(1, 2, 3), ids(2, 3, 4, 5)).first()) == (3, 4, 2)
+    assert tuple(compare.coverage(ids(), ids(7)).first()) == (0, 1, 0)
+
+
+def _by_urn(rows, split, budget, least, most, same_domain, seed):
+    """Sessions by drawing from an urn that holds each dialogue as often as it may still be used."""
+    draw = (int(hashlib.md5(f"{seed}|{split}|{n}".encode()).hexdigest()[:8], 16) / 2**32 for n in count(1))
+    left = Counter({r["dialogue_id"]: budget for r in rows})
+    rows = sorted(rows, key=lambda r: r["dialogue_id"])
+
+    def pull(among):
+        urn = [r for r in among for _ in range(left[r["dialogue_id"]])]
+        return urn[int(next(draw) * len(urn))]
+
+    out = []
+    for number in count():
+        target = least + int(next(draw) * (most - least + 1))
+        if not sum(left.values()):
+            return out
+        session = [pull(rows)]
+        while len(session) < target:
+            free = [r for r in rows if r not in session and left[r["dialogue_id"]] and (r["address"] or "") == (session[0]["address"] or "")]
+            same = [r for r in free if r["domain"] == session[-1]["domain"] and r["source_doc_id"] != session[-1]["source_doc_id"]]
+            other = [r for r in free if r["domain"] != session[-1]["domain"]]
+            stay = next(draw) < same_domain
+            if not same + other:
+                break
+            session.append(pull((same if stay else other) or (other if stay else same)))
+        if len(session) < least:
+            return out
+        for p, r in enumerate(session):
+            left[r["dialogue_id"]] -= 1
+            out.append((split, f"{split}_{number:04d}", p, r["dialogue_id"], r["domain"], r["source_doc_id"]))
+
+
+def test_sessions_are_assembled_as_by_an_urn(spark):
+    names = "split string, dialogue_id string, domain string, source_doc_id string, address string, number int"
+    rows = []
+    for split, n in (("train", 60), ("val_in", 23), ("test_in", 2)):
+        rows += [(split, f"{split}{i:03d}", f"dom{i * 7 % 5}", f"doc{i // 3}", (None, "a", "b")[i % 3], 1) for i in range(n)]
+    dialogues = spark.createDataFrame(rows, names)
+    keys = [c.split()[0] for c in names.split(", ")]
+    for same_domain, seed in ((0.3, "42"), (0.9, "7"), (0.0, "1")):
+        want = []
+        for split, budget in (("train", 5), ("val_in", 3), ("test_in", 3)):
+            own = [dict(zip(keys, r)) for r in rows if r[0] == split]
+            want += _by_urn(own, split, budget, 3, 8, same_domain, seed)
+        got = [tuple(r) for r in assemble.plan(dialogues, same_domain=same_domain, seed=seed).collect()]
+        assert len(want) > 100 and sorted(got) == sorted(want)
+    planned = assemble.plan(dialogues).cache()
+    used = Counter(r.dialogue_id for r in planned.collect())
+    assert assemble.unused(dialogues, planned).count() == len({r[0] for r in rows if r[1] not in used})
+    assert all(n <= (5 if d.startswith("train") else 3) for d, n in used.items())
+    apart = assemble.plan(dialogues, shards=4).join(dialogues.select("dialogue_id", "address"), "dialogue_id")
+    assert assemble.plan(dialogues.limit(0)).count() == 0 and apart.count() > 0
