@@ -4,6 +4,7 @@ split is one group; what travels is a row of ids for each dialogue, never texts.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import pandas as pd
@@ -21,60 +22,96 @@ def _draws(seed: str):
         yield int(hashlib.md5(f"{seed}|{n}".encode()).hexdigest()[:8], 16) / 2**32
 
 
-class _Pool:
-    """Dialogues under an address, by domain, with the sum of the budgets left."""
+class _Weights:
+    """Whole weights of some rows, all equal at first: sums and changes in logarithmic time (a binary indexed tree)."""
 
-    def __init__(self, rows: pd.DataFrame, budget: int):
-        self.rows = rows.to_dict("records")
-        self.left = [budget] * len(self.rows)
-        self.by_address: dict = defaultdict(list)
-        for i, r in enumerate(self.rows):
-            self.by_address[r["address"]].append(i)
+    def __init__(self, rows: list[int], weight: int):
+        self.rows, self.total = rows, weight * len(rows)
+        self.sums = [weight * (k & -k) for k in range(len(rows) + 1)]
+
+    def add(self, row: int, change: int) -> None:
+        self.total += change
+        k = bisect_left(self.rows, row) + 1
+        while k < len(self.sums):
+            self.sums[k] += change
+            k += k & -k
+
+    def upto(self, row: int) -> int:
+        k, total = bisect_right(self.rows, row), 0
+        while k:
+            total += self.sums[k]
+            k &= k - 1
+        return total
 
-    def pick(self, among: list[int], u: float) -> int:
-        at = u * sum(self.left[i] for i in among)
-        for i in among:
-            at -= self.left[i]
-            if at < 0:
-                return i
-        return among[-1]
+
+class _Pools:
+    """The uses that dialogues have left, as weights of all of them, of each address, of each domain in it and each source in that;
+    a dialogue that is in the session at hand weighs nothing until the session ends."""
+
+    def __init__(self, rows: pd.DataFrame, budget: int):
+        self.of = list(zip(rows["address"], rows["domain"], rows["source_doc_id"], strict=True))
+        self.left = [budget] * len(rows)
+        listed: dict[tuple, list[int]] = defaultdict(list)
+        for i, path in enumerate(self.of):
+            for depth in range(4):
+                listed[path[:depth]].append(i)
+        self.weights = {path: _Weights(own, budget) for path, own in listed.items()}
+
+    def weigh(self, row: int, change: int) -> None:
+        for depth in range(4):
+            self.weights[self.of[row][:depth]].add(row, change)
+
+    def size(self, within: tuple, without: tuple | None = None) -> int:
+        return self.weights[within].total - (self.weights[without].total if without else 0)
+
+    def draw(self, u: float, within: tuple, without: tuple | None = None) -> int:
+        """The row at the share u of the weights within one path but not within another below it."""
+        inner, outer = self.weights[within], self.weights[without] if without else None
+        at, a, b = u * self.size(within, without), 0, len(inner.rows) - 1
+        while a < b:
+            mid = (a + b) // 2
+            row = inner.rows[mid]
+            if inner.upto(row) - (outer.upto(row) if outer else 0) > at:
+                b = mid
+            else:
+                a = mid + 1
+        return inner.rows[a]
 
 
 def _assemble(rows: pd.DataFrame, budget: int, least: int, most: int, same_domain: float, seed: str) -> list[tuple]:
     rows = rows.sort_values("dialogue_id", kind="stable").reset_index(drop=True)
-    split, pool = rows["split"].iloc[0], _Pool(rows, budget)
+    split, pools = rows["split"].iloc[0], _Pools(rows, budget)
+    names = list(zip(rows["dialogue_id"], rows["domain"], rows["source_doc_id"], strict=True))
     u = _draws(f"{seed}|{split}")
-    free = list(range(len(rows)))
     out, number = [], 0
     while True:
-        free = [i for i in free if pool.left[i] > 0]
         target = least + int(next(u) * (most - least + 1))
-        if not free:
+        if not pools.size(()):
             return out
-        chosen = [pool.pick(free, next(u))]
-        mates = [i for i in pool.by_address[pool.rows[chosen[0]]["address"]] if pool.left[i] > 0]
-        while len(chosen) < target:
-            last = pool.rows[chosen[-1]]
-            rest = [i for i in mates if i not in chosen]
-            same = [i for i in rest if pool.rows[i]["domain"] == last["domain"] and pool.rows[i]["source_doc_id"] != last["source_doc_id"]]
-            other = [i for i in rest if pool.rows[i]["domain"] != last["domain"]]
-            among = (same or other) if next(u) < same_domain else (other or same)
-            if not among:
-                break
-            chosen.append(pool.pick(among, next(u)))
-        if len(chosen) < least:
+        session: list[int] = []
+        ways: list[tuple] = [((), None)]
+        while ways and len(session) < target:
+            row = pools.draw(next(u), *ways[0])
+            pools.weigh(row, -pools.left[row])
+            session.append(row)
+            path = pools.of[row]
+            if len(session) < target:
+                ways = [(path[:2], path), (path[:1], path[:2])]  # the same domain from another source, another domain
+                ways = [w for w in (ways if next(u) < same_domain else ways[::-1]) if pools.size(*w)]
+        if len(session) < least:
             return out
-        for p, i in enumerate(chosen):
-            pool.left[i] -= 1
-            r = pool.rows[i]
-            out.append((split, f"{split}_{number:04d}", p, r["dialogue_id"], r["domain"], r["source_doc_id"]))
+        for place, row in enumerate(session):
+            pools.left[row] -= 1
+            pools.weigh(row, pools.left[row])
+            out.append((split, f"{split}_{number:04d}", place, *names[row]))
         number += 1
 
 
 def plan(dialogues: DataFrame, max_uses: int = 5, eval_max_uses: int = 3, min_segs: int = 3, max_segs: int = 8, same_domain: float = 0.3, seed: str = "42", shards: int = 1) -> DataFrame:
     """dialogues(split, dialogue_id, domain, source_doc_id, address) -> split, session_id, position, dialogue_id, domain,
-    source_doc_id. A split ends with the first session that stays under `min_segs`. Choosing one dialogue looks at all that are
-    free, so large splits should be cut into `shards` pools by a hash of the address, which run apart and number sessions apart."""
+    source_doc_id. A split ends with the first session that stays under `min_segs`. A choice takes the square of the logarithm of
+    the dialogues; a split is one task all the same, so large ones can be cut into `shards` pools by a hash of the address, which
+    run apart and number sessions apart."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         budget = max_uses if rows["split"].iloc[0].split("#")[0] == "train" else eval_max_uses

@@ -1,7 +1,12 @@
-"""Fixed-length encodings of pairs. The tokenizer is pluggable; the default hashes white-space tokens into a fixed range."""
+"""Fixed-length encodings of pairs. The tokenizer is pluggable; the default hashes white-space tokens into a fixed range, and
+subword vocabularies of the tokenizers library and word segmenters run in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,34 @@ def context_ids(texts: Column, ids=hashed_ids) -> Column:
     return F.flatten(F.transform(texts, lambda t: F.concat(ids(t), F.array(F.lit(SEP)))))
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def subword_context_ids(texts: Column, path: str, sep: int = SEP, max_len: int | None = None) -> Column:
+    """context_ids() by the vocabulary file at `path`, which every executor must have: the ids of all texts (null as empty), each
+    cut to `max_len` if that is given, and closed by `sep`."""
+
+    def ids(many: pd.Series) -> pd.Series:
+        flat = [t or "" for texts in many for t in ([] if texts is None else texts)]
+        found = iter(_tokenizer(path).encode_batch(flat, add_special_tokens=False))
+        return pd.Series([None if texts is None else [i for _ in texts for i in (*next(found).ids[:max_len], sep)] for texts in many])
+
+    return F.pandas_udf(ids, "array<int>")(texts)
+
+
+def segmented(text: Column, segmenter: Callable[[str], str], remembered: int = 100_000) -> Column:
+    """Texts with their words marked by segmenter(text), null as null; a worker remembers the last `remembered` texts."""
+
+    def words(many: pd.Series) -> pd.Series:
+        return many.map(lru_cache(maxsize=remembered)(segmenter), na_action="ignore")
+
+    return F.pandas_udf(words, "string")(text)
+
+
 def truncated_pair(rows: DataFrame, context: str, following: str, max_len: int) -> DataFrame:
     """Adds input_ids and type_ids. context, following: arrays of ids. The context loses its begin, what follows its end."""
     keep, keep_next = pair_budget(F.col(context), F.col(following), max_len)

@@ -89,5 +89,14 @@ def topic_margin(rows: DataFrame, starts: DataFrame, window: int = 5, margin: fl
     return margin_loss(pairs, "batch", margin)
 
 
+def training_loss(samples: DataFrame, topic: DataFrame, weight: float = 1.0, margin: float = 1.0) -> DataFrame:
+    """batch, n_samples, pair_loss, topic_loss and loss, their sum. samples(batch, pos_coherence, pos_cos, neg_coherence, neg_cos):
+    the hinge over coherence + weight * cos of the true and the false continuation. topic(batch, loss); 0 where a batch has none."""
+    score = lambda side: F.col(f"{side}_coherence") + weight * F.col(f"{side}_cos")
+    pairs = samples.groupBy("batch").agg(F.count(F.lit(1)).alias("n_samples"), F.avg(hinge(score("pos"), score("neg"), margin)).alias("pair_loss"))
+    out = pairs.join(topic.select("batch", F.col("loss").alias("topic_loss")), "batch", "left").withColumn("topic_loss", F.coalesce("topic_loss", F.lit(0.0)))
+    return out.withColumn("loss", F.col("pair_loss") + F.col("topic_loss"))
+
+
 def norms(rows: DataFrame) -> DataFrame:
     return rows.select("*", norm(F.col("embedding")).alias("norm"))
