@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions import text as tx
-from dialoom.operators import assemble, compare, encode, evalsplit, losses, metrics, prompts, runlog, samples, scoring, segment, stats, synth, windows
+from dialoom.operators import assemble, batches, compare, encode, evalsplit, losses, metrics, prompts, runlog, samples, scoring, segment, stats, synth, windows
 from dialoom.plans.sql import ORACLE_SQL  # noqa: F401
 from dialoom.sources import conversations as cv
 from dialoom.sources import dialogue_text
@@ -376,14 +376,18 @@ def supcon_loss(spark: SparkSession, folder: str) -> DataFrame:
     return losses.supcon_loss(losses.pairwise_cosine(_vectors(spark, folder), "win"), "win")
 
 
-@query
-def topic_margin_loss(spark: SparkSession, folder: str) -> DataFrame:
+def _topic_loss(spark: SparkSession, folder: str) -> DataFrame:
     rows = _vectors(spark, folder)
     by = F.lag("label").over(windows.W.partitionBy("dialogue_id").orderBy("i"))
     starts = rows.withColumn("before", by).where("before is null or before <> label").select("dialogue_id", F.col("i").alias("start"))
     return losses.topic_margin(rows, starts)
 
 
+@query
+def topic_margin_loss(spark: SparkSession, folder: str) -> DataFrame:
+    return _topic_loss(spark, folder)
+
+
 @query
 def pseudo_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return losses.pseudo_starts(_vectors(spark, folder))
@@ -474,3 +478,19 @@ def retry_jobs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
     return losses.norms(_vectors(spark, folder)).select("win", "i", "norm")
+
+
+@query
+def shuffled_batches(spark: SparkSession, folder: str) -> DataFrame:
+    gaps = windows.gap_windows(utterances(spark, folder)).select("dialogue_id", "gap_idx")
+    return batches.shuffled(gaps, ["dialogue_id", "gap_idx"], 16)
+
+
+@query
+def training_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """Of neighbouring vectors the next one is the true continuation and the one after it the false one; equal labels are coherent."""
+    pairs = losses.pairwise_cosine(_vectors(spark, folder), "win").withColumn("coherence", F.col("same").cast("double"))
+    pos = pairs.where("j = i + 1").select("win", "i", F.col("coherence").alias("pos_coherence"), F.col("cos").alias("pos_cos"))
+    neg = pairs.where("j = i + 2").select("win", "i", F.col("coherence").alias("neg_coherence"), F.col("cos").alias("neg_cos"))
+    samples = pos.join(neg, ["win", "i"]).withColumn("batch", F.floor(F.col("win") * WINDOW / BATCH))
+    return losses.training_loss(samples, _topic_loss(spark, folder))

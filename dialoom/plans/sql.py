@@ -239,4 +239,10 @@ ORACLE_SQL: dict[str, str] = {
     "comparison_coverage": _q("SELECT count(b.dialogue_id) AS n_base, count(c.dialogue_id) AS n_candidate, count(b.dialogue_id + c.dialogue_id) AS n_shared FROM m_even b FULL JOIN m_lex c ON b.dialogue_id = c.dialogue_id"),
     "retry_jobs": _q("SELECT job_id, outcome FROM outc WHERE outcome NOT IN ('accepted', 'already_ingested')"),
     "vector_norms": _q("SELECT win, i, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM e"),
+    "shuffled_batches": _q(f"SELECT dialogue_id, gap_idx, place, place // 16 AS batch FROM (SELECT dialogue_id, gap_idx, row_number() OVER (ORDER BY {rank(repr('shuffle'), 'dialogue_id', 'gap_idx')}, dialogue_id, gap_idx) - 1 AS place FROM gs)"),
+    "training_loss": _q(
+        "SELECT batch, n_samples, round(pair_loss, 6) AS pair_loss, round(coalesce(topic_loss, 0), 6) AS topic_loss, round(pair_loss + coalesce(topic_loss, 0), 6) AS loss FROM (SELECT a.win // 4 AS batch, count(*) AS n_samples,"
+        " avg(greatest(0.0, 1.0 - (CAST(a.same AS INT) + a.cos - CAST(b.same AS INT) - b.cos))) AS pair_loss FROM pc a JOIN pc b ON a.win = b.win AND a.i = b.i AND a.j = a.i + 1 AND b.j = a.i + 2 GROUP BY ALL)"
+        " LEFT JOIN (SELECT batch, avg(loss) AS topic_loss FROM tm GROUP BY batch) USING (batch)"
+    ),
 }
