@@ -105,3 +105,12 @@ def test_training_loss(spark):
     topic = spark.createDataFrame([(0, 0.25)], "batch int, loss double")
     got = {r.batch: (r.n_samples, round(r.pair_loss, 6), r.topic_loss, round(r.loss, 6)) for r in losses.training_loss(samples, topic).collect()}
     assert got == {0: (2, 1.0, 0.25, 1.25), 1: (1, 0.0, 0.0, 0.0)}
+
+
+def test_splits_that_share_texts(spark):
+    from dialoom.operators import stats
+
+    rows = [("train", 0, 0, 0, "Hello"), ("train", 0, 1, 0, "there"), ("val", 1, 0, 0, "Hello"), ("val", 1, 1, 0, "there"), ("val", 1, 2, 1, "other"), ("test", 2, 0, 0, "hello"), ("test", 2, 1, 0, "alone")]
+    own = spark.createDataFrame(rows, "split string, dialogue_id int, utt_idx int, seg_rank int, text string")
+    got = {(r.split_a, r.split_b): (r.shared_segments, r.shared_utterances) for r in stats.split_overlap(own).collect()}
+    assert got == {("train", "val"): (1, 2), ("test", "train"): (0, 1), ("test", "val"): (0, 1)}
