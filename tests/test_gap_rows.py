@@ -12,7 +12,7 @@ from dialoom.operators import scoring
 from dialoom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["depth_scores", "documents_by_improvement"]
+NAMES = ["depth_scores", "documents_by_improvement", "gap_scores"]
 
 
 def most_rows(plan):
