@@ -34,6 +34,11 @@ def test_no_row_for_each_term(spark, name):
     few_rows(spark, catalog.QUERIES[name](spark, FOLDER))
 
 
+def test_differences_make_no_row_for_each_term(spark):
+    """Those that paired_bootstrap draws from; the draws are rows of their own."""
+    few_rows(spark, catalog._diffs(spark, FOLDER))
+
+
 def test_cosine_of_counts(spark):
     draw = random.Random(7)
     some = lambda: [draw.choice("abcdeé") * draw.choice((1, 1, 2)) for _ in range(draw.choice((0, 1, 5, 40)))]
