@@ -12,7 +12,7 @@ from dialoom.operators import scoring
 from dialoom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["depth_scores", "documents_by_improvement", "gap_scores", "pk_windowdiff_macro", "pk_windowdiff_per_doc", "topk_boundaries", "wilcoxon", "win_tie_loss"]
+NAMES = ["depth_scores", "documents_by_improvement", "gap_scores", "pk_windowdiff_macro", "pk_windowdiff_per_doc", "topk_boundaries", "wilcoxon", "win_tie_loss", "predicted_masses"]
 
 
 def most_rows(plan):
